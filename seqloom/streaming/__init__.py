@@ -1,0 +1,2 @@
+"""The data model is batch only (whole families in, whole tables out), so no
+streaming operator is defined here."""
