@@ -52,7 +52,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cpu_partitions(df: DataFrame, factor: int = 4) -> int:
+def cpu_partitions(df: DataFrame, factor: int = 3) -> int:
     """Partition count for stages that are heavy on CPU but light on bytes.
 
     Adaptive coalescing sizes partitions by bytes, which would put a whole

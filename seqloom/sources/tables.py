@@ -29,7 +29,7 @@ def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spread(load(spark, sf_dir, "conversations"))
     return c.select(
         F.col("conv_id").cast("string").alias("family"), F.col("turn").alias("idx"),
-        F.concat(F.col("role"), F.lit(" "), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("header"),
+        F.concat(F.col("role"), F.lit("_"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("header"),
         R.gapped_letters(F.col("text")).alias("seq"),
     )
 
