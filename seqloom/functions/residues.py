@@ -48,9 +48,9 @@ def encode(residue: Column) -> Column:
 
 def residue_index(residue: Column, alphabet: str = K.AMINO) -> Column:
     """Position in ``alphabet``, -1 when absent."""
-    codes = [F.lit(alphabet.find(chr(65 + i))) for i in range(26)]
+    at = F.expr("array(" + ", ".join(str(alphabet.find(chr(65 + i))) for i in range(26)) + ")")
     code = encode(residue)
-    return F.when(code.between(0, 25), F.get(F.array(*codes), code)).otherwise(F.lit(-1))
+    return F.when(code.between(0, 25), F.get(at, code)).otherwise(F.lit(-1))
 
 
 def slice_range(seq: Column, start, end) -> Column:
@@ -84,7 +84,7 @@ def highlight(residue: Column, score: Column, cutoff) -> Column:
 
 def property_bits(residue: Column) -> Column:
     """Bit mask of residue properties; unknown letters have all bits."""
-    masks = F.array(*[F.lit(K.property_mask(ch)) for ch in (chr(65 + i) for i in range(26))])
+    masks = F.expr("array(" + ", ".join(str(K.property_mask(chr(65 + i))) for i in range(26)) + ")")
     code = encode(residue)
     return F.when(code.between(0, 25), F.get(masks, code)).otherwise(F.lit(K.property_mask("?")))
 

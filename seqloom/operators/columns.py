@@ -6,9 +6,6 @@ table ``(family, col, n, r_A .. r_Z)``; everything else is computed from that.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +16,6 @@ from seqloom.session import materialize
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def of(letter: str) -> Column:
-    """Count of a letter in the column at hand."""
-    return F.col(f"r_{letter}")
-
 
 def dedup_headers(rows: DataFrame) -> DataFrame:
     """One row per header, the last one wins."""
@@ -44,8 +37,8 @@ def column_table(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFra
     marked = F.concat(F.split(F.col(seq), ""), F.array(F.lit("$")))
     cells = rows.select(*keys, F.posexplode(F.when(F.length(seq) == 0, F.array(F.lit("$"))).otherwise(marked)).alias("col", "x"))
     cells = cells.select(*keys, F.col("col").cast("long").alias("col"), R.encode(F.col("x")).alias("_c"))
-    aggs = [F.sum((F.col("_c") == i).cast("long")).alias(f"r_{ch}") for i, ch in enumerate(LETTERS)]
-    aggs.append(F.sum((F.col("_c") == ord("$") - 65).cast("long")).alias("_ends"))
+    aggs = [F.expr(f"count_if(_c = {i}) AS r_{ch}") for i, ch in enumerate(LETTERS)]
+    aggs.append(F.expr(f"count_if(_c = {ord('$') - 65}) AS _ends"))
     counted = cells.groupBy(*keys, "col").agg(*aggs).withColumn("pair_sum", pair_sum())
     raw = materialize(counted, "columns")
     shape = raw.where("_ends > 0").groupBy(*keys).agg(F.sum("_ends").alias("n"), F.max("col").alias("_len"))
@@ -58,7 +51,7 @@ def family_shape(cols: DataFrame, keys=("family",)) -> DataFrame:
 
 
 def residue_total() -> Column:
-    return reduce(add, [of(ch) for ch in LETTERS])
+    return F.expr(" + ".join(f"r_{ch}" for ch in LETTERS))
 
 
 def pair_sum(letters: str = K.AMINO, scores=None) -> Column:
@@ -69,16 +62,15 @@ def pair_sum(letters: str = K.AMINO, scores=None) -> Column:
     the size up to which the JVM compiles a method.
     """
     s = scores or K.square(K.BLOSUM62_LOWER)
-    zero = F.lit(0).cast("long")
-    rows = F.array(*[F.array(*[F.lit(int(v)).cast("long") for v in r]) for r in s])
-    diag = F.array(*[F.lit(int(s[i][i])).cast("long") for i in range(len(s))])
-    c = F.array(*[of(ch) for ch in letters])
+    rows = "array(" + ", ".join("array(" + ", ".join(f"{int(v)}L" for v in r) + ")" for r in s) + ")"
+    diag = "array(" + ", ".join(f"{int(s[i][i])}L" for i in range(len(s))) + ")"
+    c = "array(" + ", ".join(f"r_{ch}" for ch in letters) + ")"
 
     def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), zero, lambda t, v: t + v)
+        return f"aggregate(zip_with({x}, {y}, (u, v) -> u * v), 0L, (t, v) -> t + v)"
 
-    weighted = F.transform(rows, lambda r: dot(r, c))
-    return ((dot(c, weighted) - dot(c, diag)) / 2).cast("long")
+    weighted = f"transform({rows}, r -> {dot('r', c)})"
+    return F.expr(f"({dot(c, weighted)} - {dot(c, diag)}) div 2")
 
 
 def column_scores(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFrame:
@@ -171,31 +163,22 @@ def inner_gap_counts(rows: DataFrame, cols: DataFrame, seq: str = "seq") -> Data
 def conservation_symbol(cols: DataFrame) -> DataFrame:
     """Conservation mark per column: ``*`` identical, ``:`` strong group,
     ``.`` weak group, blank otherwise or with a single residue."""
-    total = residue_total()
-
-    def within(group):
-        return reduce(add, [of(ch) for ch in group]) == total
-
-    mark = F.when(total == 1, F.lit(" "))
-    mark = mark.when(F.greatest(*[of(ch) for ch in LETTERS]) == total, F.lit("*"))
-    for g in K.STRONG_GROUPS:
-        mark = mark.when(within(g), F.lit(":"))
-    for g in K.WEAK_GROUPS:
-        mark = mark.when(within(g), F.lit("."))
-    return cols.select("family", "col", mark.otherwise(F.lit(" ")).alias("symbol"))
+    total = "(" + " + ".join(f"r_{ch}" for ch in LETTERS) + ")"
+    arms = [f"WHEN {total} = 1 THEN ' '", f"WHEN greatest({', '.join(f'r_{ch}' for ch in LETTERS)}) = {total} THEN '*'"]
+    for mark, groups in ((":", K.STRONG_GROUPS), (".", K.WEAK_GROUPS)):
+        arms += [f"WHEN {' + '.join(f'r_{ch}' for ch in g)} = {total} THEN '{mark}'" for g in groups]
+    return cols.select("family", "col", F.expr(f"CASE {' '.join(arms)} ELSE ' ' END AS symbol"))
 
 
 def property_consensus(cols: DataFrame) -> DataFrame:
     """Properties shared by all residues and present in any, and their score."""
-    full = (1 << len(K.PROPERTIES)) - 1
-    common, present = F.lit(full), F.lit(0)
-    for ch in LETTERS:
-        m, here = K.property_mask(ch), of(ch) > 0
-        common = common.bitwiseAND(F.when(here, F.lit(m)).otherwise(F.lit(full)))
-        present = present.bitwiseOR(F.when(here, F.lit(m)).otherwise(F.lit(0)))
-    bits = len(K.PROPERTIES)
-    score = (F.bit_count(common) + F.lit(bits) - F.bit_count(present)) / F.lit(float(bits))
-    return cols.withColumn("common", common).withColumn("present", present).withColumn("property_score", score)
+    full, bits = (1 << len(K.PROPERTIES)) - 1, len(K.PROPERTIES)
+    masks = {ch: K.property_mask(ch) for ch in LETTERS}
+    common = " & ".join(f"if(r_{ch} > 0, {m}, {full})" for ch, m in masks.items())
+    present = " | ".join(f"if(r_{ch} > 0, {m}, 0)" for ch, m in masks.items())
+    return cols.withColumn("common", F.expr(common)).withColumn("present", F.expr(present)).withColumn(
+        "property_score", F.expr(f"(bit_count(common) + {bits} - bit_count(present)) / {bits}.0D")
+    )
 
 
 def column_entropy(cols: DataFrame) -> DataFrame:
@@ -205,9 +188,9 @@ def column_entropy(cols: DataFrame) -> DataFrame:
     half the alphabet plus all residues, known or not.
     """
     size = len(K.AMINO)
-    total = residue_total() + F.lit(size // 2)
-    terms = [((of(ch) + F.lit(0.5)) / total) * F.log2((of(ch) + F.lit(0.5)) / total) for ch in K.AMINO]
-    entropy = -reduce(add, terms) / F.log2(F.lit(float(size)))
+    cols = cols.withColumn("_t", residue_total() + F.lit(size // 2))
+    terms = [f"((r_{ch} + 0.5D) / _t) * log2((r_{ch} + 0.5D) / _t)" for ch in K.AMINO]
+    entropy = F.expr(f"-({' + '.join(terms)}) / log2({size}.0D)")
     gap = (F.col("n") - residue_total()) / F.col("n")
     return property_consensus(cols).withColumn("entropy", entropy).withColumn("gap_score", gap).select(
         "family", "col", "n", "entropy", "property_score", "gap_score",

@@ -62,11 +62,11 @@ def build_trees(distances: DataFrame, linkage: str = "upgma", max_rounds: int =
             F.struct(F.col("hi").alias("old"), F.lit("L" if linkage != "single" else "R").alias("side")),
             F.struct(F.col("lo").alias("old"), F.lit("R" if linkage != "single" else "L").alias("side")),
         )).alias("o"), F.col("hi").alias("new"), F.col("merged").alias("c")).select("family", "o.old", "o.side", "new", "c")
-        where = materialize(
-            where.select("family", "leaf", F.col("label").alias("old")).join(moves, ["family", "old"], "left").select(
-                "family", "leaf", F.coalesce("new", "old").alias("label"), "side", F.col("c.size").alias("size")
-            ), "tree-members",
+        where = where.select("family", "leaf", F.col("label").alias("old")).join(moves, ["family", "old"], "left").select(
+            "family", "leaf", F.coalesce("new", "old").alias("label"), "side", F.col("c.size").alias("size")
         )
+        if rounds % 4 == 0:
+            where = materialize(where, "tree-members")
         members.append(where.where("side is not null").select("family", "leaf", "side", "label", "size"))
         state = materialize(_merge_state(state, moves, linkage), "tree-distances")
     if not merges:

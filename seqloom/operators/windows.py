@@ -132,7 +132,7 @@ def retain_cutoff(
     the first bucket where the running count is above the number to keep, 0 when
     there is none. ``total`` overrides the number of cells the fraction is of.
     """
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    arr = F.expr("array(" + ", ".join(f"{float(b)!r}D" for b in bounds) + ")")
     first_below = F.array_position(F.transform(arr, lambda c: F.col(value) > c), F.lit(True))
     bucket = F.when(first_below == 0, F.lit(len(bounds))).otherwise(first_below - 1).cast("int")
     counts = df.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))

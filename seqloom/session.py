@@ -16,6 +16,7 @@ def build_session(app: str = "seqloom", master: str | None = None, **conf) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master:
         b = b.master(master)
