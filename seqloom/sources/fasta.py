@@ -58,7 +58,8 @@ def parse_fasta(texts: DataFrame, text: str = "text", keys: list[str] | None = N
     """
     keys = keys if keys is not None else [c for c in texts.columns if c != text]
     body = F.regexp_replace(F.concat(F.lit("\n"), F.col(text)), "\r", "")
-    records = F.slice(F.split(body, "\n>"), 2, 2147483647)
+    pieces = F.split(body, "\n>")
+    records = F.slice(pieces, F.lit(2), F.size(pieces))
     return (
         texts.where(F.col(text).contains(">"))
         .select(*keys, F.posexplode(records).alias("idx", "rec"))
