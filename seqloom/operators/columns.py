@@ -57,20 +57,20 @@ def residue_total() -> Column:
 def pair_sum(letters: str = K.AMINO, scores=None) -> Column:
     """Sum of substitution scores over all row pairs of a column, from counts.
 
-    With counts ``c`` and scores ``S`` this is ``(c'Sc - diag(S)'c) / 2``. It is
-    written with array functions, because 400 unrolled products would exceed
-    the size up to which the JVM compiles a method.
+    With counts ``c`` and scores ``S`` this is ``(c'Sc - diag(S)'c) / 2``, taken
+    over the letters that occur in the column. It is written with array functions,
+    because 400 unrolled products would exceed the size up to which the JVM
+    compiles a method.
     """
-    s = scores or K.square(K.BLOSUM62_LOWER)
-    rows = "array(" + ", ".join("array(" + ", ".join(f"{int(v)}L" for v in r) + ")" for r in s) + ")"
-    diag = "array(" + ", ".join(f"{int(s[i][i])}L" for i in range(len(s))) + ")"
-    c = "array(" + ", ".join(f"r_{ch}" for ch in letters) + ")"
-
-    def dot(x, y):
-        return f"aggregate(zip_with({x}, {y}, (u, v) -> u * v), 0L, (t, v) -> t + v)"
-
-    weighted = f"transform({rows}, r -> {dot('r', c)})"
-    return F.expr(f"({dot(c, weighted)} - {dot(c, diag)}) div 2")
+    s, size = scores or K.square(K.BLOSUM62_LOWER), len(letters)
+    flat = "array(" + ", ".join(f"{int(v)}L" for r in s for v in r) + ")"
+    counts = "array(" + ", ".join(f"struct({i} AS i, r_{ch} AS c)" for i, ch in enumerate(letters)) + ")"
+    here = f"filter({counts}, x -> x.c > 0)"
+    with_y = f"aggregate(xs, 0L, (u, y) -> u + y.c * get({flat}, x.i * {size} + y.i))"
+    one = f"x.c * ({with_y} - get({flat}, x.i * {size} + x.i))"
+    # the letters are bound once to xs
+    total = f"transform(array({here}), xs -> aggregate(xs, 0L, (t, x) -> t + {one}))[0]"
+    return F.expr(f"{total} div 2")
 
 
 def column_scores(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFrame:
