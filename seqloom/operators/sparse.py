@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.windows import prefix_sum, retain_cutoff
@@ -88,6 +88,17 @@ def keep_count(lengths: DataFrame, fill: float) -> DataFrame:
     return lengths.withColumn("keep", F.floor((F.col("len_a") * F.col("len_b") - least) * fill) + least)
 
 
+def keep_largest(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """The ``keep`` largest cells of every matrix; ties go to the first cell.
+
+    A matrix is bounded by the lengths of two sequences, so ranking inside one
+    is a small window however many pairs a family has.
+    """
+    w = Window.partitionBy("family", "a", "b").orderBy(F.col("p").desc(), "i", "j")
+    ranked = cells.withColumn("_k", F.row_number().over(w))
+    return ranked.join(counts.select("family", "a", "b", "keep"), ["family", "a", "b"]).where("_k <= keep").drop("_k", "keep")
+
+
 def column_reliability(columns: DataFrame, cells: DataFrame) -> DataFrame:
     """Reliability of every alignment column, 0 to 100.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seqloom import constants as K
+from seqloom.functions.draws import twister_stream
 from seqloom.operators.sparse import global_bounds, local_bounds
 
 DOC = """docs AS (
@@ -224,6 +225,7 @@ FROM cells c JOIN scores s ON c.family = s.family AND c.col = s.col GROUP BY c.f
     "unreliable_regions": with_(DOC, scored("docs"), regions(LOW, "1"), body="SELECT * FROM regions"),
     "unreliable_regions_long": with_(CONV, scored("conv"), regions(LOW, "10"), body="SELECT * FROM regions"),
     "reliable_regions": with_(CONV, scored("conv"), regions("score > 2.0", "2"), body="SELECT * FROM regions"),
+    "reliable_regions_loose": with_(CONV, scored("conv"), regions("score > 0.5", "2"), body="SELECT * FROM regions"),
     "segment_partition": with_(*CONV_SEG, body="SELECT family, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, kind FROM segs"),
     "segment_cut": with_(*CONV_SEG, FRAGS, body="SELECT family, s, e, kind, header, frag FROM frags"),
     "segment_recombine": with_(CONV, PADDED, body="SELECT family, header, seq FROM pad"),
@@ -326,6 +328,30 @@ cols AS (SELECT family, p AS col, count(*) AS n FROM tok GROUP BY family, p),
 agree AS (SELECT family, i AS col, sum(p) AS v FROM m WHERE i = j GROUP BY family, i)""", body="""
 SELECT c.family, c.col, c.n AS m, CAST(CASE WHEN n > 1 THEN floor(200.0::DOUBLE * coalesce(v, 0) / (n * (n - 1))) ELSE 0 END AS BIGINT) AS reliability
 FROM cols c LEFT JOIN agree a ON c.family = a.family AND c.col = a.col"""),
+    "annotation_text": with_(WORDS, """
+cols AS (SELECT family, p AS col, count(*) AS n FROM tok GROUP BY family, p),
+agree AS (SELECT family, i AS col, sum(p) AS v FROM m WHERE i = j GROUP BY family, i)""", body="""
+SELECT c.family, string_agg(lpad(CAST(CAST(CASE WHEN n > 1 THEN floor(200.0::DOUBLE * coalesce(v, 0) / (n * (n - 1))) ELSE 0 END AS BIGINT) AS VARCHAR), 4, ' ')
+       || chr(10), '' ORDER BY c.col) AS text
+FROM cols c LEFT JOIN agree a ON c.family = a.family AND c.col = a.col GROUP BY c.family"""),
+    "count_cutoff": with_(WORDS, """
+ranked AS (
+  SELECT m.*, row_number() OVER (PARTITION BY m.family, a, b ORDER BY p DESC, i, j) AS k,
+         floor((u.n * v.n - least(u.n, v.n)) * 0.0001::DOUBLE) + least(u.n, v.n) AS keep
+  FROM m JOIN lens u ON m.family = u.family AND m.a = u.x JOIN lens v ON m.family = v.family AND m.b = v.x)""", body="""
+SELECT family, a, b, i, j, round(p, 9) AS p FROM ranked WHERE k <= keep"""),
+    "gap_expand": with_(CONV, PADDED, body="SELECT family, header, seq FROM pad"),
+    "row_split": with_(CONV, counted("conv"), f"""
+gaps AS (
+  SELECT g.family, g.col, g.n, CAST(g.n - coalesce(sum(c), 0) AS BIGINT) AS gaps
+  FROM grid g LEFT JOIN cnt ON g.family = cnt.family AND g.col = cnt.col GROUP BY g.family, g.col, g.n),
+ranked AS (
+  SELECT family, col, row_number() OVER (PARTITION BY family ORDER BY abs(n / 2 - gaps) DESC, col) - 1 AS r,
+         count(*) OVER (PARTITION BY family) AS m
+  FROM gaps WHERE gaps > 0),
+chosen AS (SELECT family, col FROM ranked WHERE r = {twister_stream(1)[0]} % m)""", body="""
+SELECT conv.family, idx AS leaf, CASE WHEN substr(seq, CAST(col + 1 AS INTEGER), 1) BETWEEN 'A' AND 'Z' THEN 'R' ELSE 'L' END AS side
+FROM conv JOIN chosen ON conv.family = chosen.family"""),
     "distance_hist": with_(WORDS, body="""
 SELECT family, CAST(CASE """ + " ".join(f"WHEN d <= {(k + 1) / 10!r}::DOUBLE THEN {k}" for k in range(10)) + """ END AS BIGINT) AS bin, count(*) AS pairs
 FROM dist GROUP BY 1, 2"""),

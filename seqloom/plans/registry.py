@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.config import AlignerConfig
 from seqloom.functions import numeric as N
+from seqloom.functions.draws import twister_stream
 from seqloom.functions import residues as R
 from seqloom.operators import columns as C
 from seqloom.operators import consistency as CO
@@ -167,6 +168,11 @@ def reliable_regions(spark, sf):
     return RG.reliable_regions(C.column_scores(conversation_rows(spark, sf)))
 
 
+@query
+def reliable_regions_loose(spark, sf):
+    return RG.reliable_regions(C.column_scores(conversation_rows(spark, sf)), 0.5)
+
+
 def _conv_segments(spark, sf):
     rows = conversation_rows(spark, sf)
     cols = C.column_table(rows)
@@ -420,6 +426,49 @@ def column_reliability(spark, sf):
     return _long(S.column_reliability(cols, word_matches(spark, sf)), "col", "m")
 
 
+@query
+def annotation_text(spark, sf):
+    n = word_lengths(spark, sf).where("len > 0")
+    cols = n.select("family", "idx", F.explode(F.sequence(F.lit(1), F.col("len").cast("int"))).alias("pos")).withColumn("col", F.col("pos"))
+    return K.annotation(S.column_reliability(cols, word_matches(spark, sf)))
+
+
+@query
+def count_cutoff(spark, sf):
+    n = word_lengths(spark, sf).where("len > 0")
+    a = n.select("family", F.col("idx").alias("a"), F.col("len").alias("len_a"))
+    b = n.select("family", F.col("idx").alias("b"), F.col("len").alias("len_b"))
+    cells = word_matches(spark, sf)
+    lengths = cells.select("family", "a", "b").distinct().join(a, ["family", "a"]).join(b, ["family", "b"])
+    kept = S.keep_largest(cells, S.keep_count(lengths, 0.0001))
+    return _long(kept, "a", "b", "i", "j").withColumn("p", F.round("p", 9))
+
+
+def _conv_state(spark, sf):
+    """Aligned turns in row form: the column of every letter."""
+    rows = conversation_rows(spark, sf)
+    n = rows.groupBy("family").agg(F.max(F.length("seq")).alias("len"))
+    at = F.transform(F.split("seq", ""), lambda x, i: F.when(x != "-", i))
+    return rows.join(n, "family").select(
+        "family", F.col("idx").cast("int").alias("leaf"), "header", F.filter(at, lambda i: i.isNotNull()).alias("cols"), "len",
+        R.degap(F.col("seq")).alias("letters"),
+    )
+
+
+@query
+def gap_expand(spark, sf):
+    st = _conv_state(spark, sf)
+    return st.select("family", "header", G.add_gaps(F.col("letters"), F.col("cols"), F.col("len")).alias("seq"))
+
+
+@query
+def row_split(spark, sf):
+    st = _conv_state(spark, sf).select("family", "leaf", "cols", "len")
+    draws = st.select("family").distinct().withColumn("used", F.lit(0))
+    sides, _ = G.split_by_column(st, draws, twister_stream(16), AlignerConfig(), 30)
+    return _long(sides, "leaf")
+
+
 def _word_distances(spark, sf):
     """Distance of two turns: one minus the share of word pairs that match."""
     n = word_lengths(spark, sf).where("len > 0")
