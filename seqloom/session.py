@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(app: str = "seqloom", master: str | None = None, **conf) -> SparkSession:
     """A session with AQE on; ``master`` is only set when given."""
     b = (
@@ -36,9 +39,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="seqloom-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="seqloom-ckpt-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
