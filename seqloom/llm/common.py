@@ -100,3 +100,29 @@ class TwoGenerations(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+
+
+def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -> DataFrame:
+    """``docs`` with the columns of ``fields`` that ``run`` computes batch by batch.
+
+    ``run`` gets a record batch of ``inputs`` (in their order) and returns one
+    Arrow array per field. All columns of ``docs`` pass through unchanged; inputs
+    and fields must carry names that ``docs`` hasn't.
+    """
+    import pyarrow as pa
+
+    n, given = len(docs.columns), list(inputs)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def batches(each: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each:
+            made = run(pa.RecordBatch.from_arrays(b.columns[n : n + len(given)], given))
+            names = [*b.schema.names[:n], *(f"_made{j}" for j in range(len(made)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names)
+
+    out = docs.select(*[docs[c] for c in docs.columns], *[c.alias(a) for a, c in inputs.items()])
+    names = [f.split()[0] for f in fields.split(", ")]
+    made = ", ".join(f"_made{j} {f.split(maxsplit=1)[1]}" for j, f in enumerate(fields.split(", ")))
+    return out.mapInArrow(batches, f"{schema}, {made}").withColumnsRenamed(
+        {f"_made{j}": a for j, a in enumerate(names)}
+    )

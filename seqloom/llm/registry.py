@@ -5,9 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.llm import link_trust
 from seqloom.llm.common import table
 
 
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by rules and link-graph propagation."""
+    from seqloom.llm.link_trust import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the streaming transducer."""
     from seqloom.llm.byte_bpe import round_trip
@@ -15,6 +23,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the risk-controlled quality rules for every document."""
+    from seqloom.llm.risk_rules import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by rank-synchronous merging."""
     from seqloom.llm.piece_counts import token_counts
@@ -23,7 +38,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_link_trust": op6_link_trust,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_risk_rules": op9_risk_rules,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_link_trust": link_trust.oracle_sql()}
