@@ -9,6 +9,13 @@ from seqloom.llm import link_trust
 from seqloom.llm.common import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of at most 2048 tokens, packed into sequences."""
+    from seqloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page by rules and link-graph propagation."""
     from seqloom.llm.link_trust import judge
@@ -16,6 +23,13 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior of the labellers' votes, score and verdict of every document."""
+    from seqloom.llm.weak_quality import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the streaming transducer."""
     from seqloom.llm.byte_bpe import round_trip
@@ -38,7 +52,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_link_trust": op6_link_trust,
+    "op7_weak_quality": op7_weak_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_risk_rules": op9_risk_rules,
     "op10_token_counts": op10_token_counts,
