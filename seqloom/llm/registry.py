@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import link_trust
-from seqloom.llm.common import table
+from seqloom.llm.common import fold, table
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by segmentation-marginalised piece unigrams."""
+    from seqloom.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fold("doc_id", 4, 2), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document in the bigram model."""
+    from seqloom.llm.kneser_ney import score
+
+    return score(table(spark, sf_dir, "documents"), fold("doc_id", 7, 2))
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page by rules and link-graph propagation."""
     from seqloom.llm.link_trust import judge
@@ -53,6 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_language": op4_language,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_link_trust": op6_link_trust,
     "op7_weak_quality": op7_weak_quality,
     "op8_byte_bpe": op8_byte_bpe,
