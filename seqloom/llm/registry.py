@@ -9,6 +9,13 @@ from seqloom.llm import link_trust
 from seqloom.llm.common import fold, table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label, with links, component and representative."""
+    from seqloom.llm.near_vectors import links
+
+    return links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 2048 tokens, packed into sequences."""
     from seqloom.llm.packing import pack
@@ -67,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language": op4_language,
     "op5_kneser_ney": op5_kneser_ney,
