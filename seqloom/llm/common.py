@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,18 @@ class TwoGenerations(dict):
             self.clear()
 
 
+class WordHashes(TwoGenerations):
+    """64-bit hashes of words (bytes), those of recent words at hand."""
+
+    def __missing__(self, word):
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+            h += 2 * (h < 2)  # 0 and 1 are kept free
+        self[word] = h
+        return h
+
+
 def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -> DataFrame:
     """``docs`` with the columns of ``fields`` that ``run`` computes batch by batch.
 

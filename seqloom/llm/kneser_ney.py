@@ -20,11 +20,10 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, TwoGenerations, blocks
+from seqloom.llm.common import Scratch, WordHashes, blocks
 
 BEGIN = 1
 END_WORD = b"\x00end"  # no word holds this: words come from texts as they are, and this marks the end
@@ -36,20 +35,10 @@ CACHE = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(TwoGenerations):
-    def __missing__(self, word):
-        h = self.old.get(word)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(word)
-            h += 2 * (h < 2)  # 0 and 1 are kept free
-        self[word] = h
-        return h
+END = WordHashes(1)[b" " + END_WORD]
 
 
-END = _Hashes(1)[b" " + END_WORD]
-
-
-def token_hashes(texts: list[str], cache: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: list[str], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text closed by END, and their numbers."""
     parts, sizes = [], []
     cache.age()
@@ -131,7 +120,7 @@ def load(path: str, dtype) -> np.ndarray:
 
 def gathered(batches: Iterator[pa.RecordBatch], give) -> Iterator[pa.RecordBatch]:
     """``give(ids, sizes)`` of about GATHER tokens at a time."""
-    cache, ids, sizes, held = _Hashes(CACHE), [], [], 0
+    cache, ids, sizes, held = WordHashes(CACHE), [], [], 0
     for b in batches:
         texts = b.column(0).to_pylist()
         for i, j in blocks(texts):
@@ -360,7 +349,7 @@ def score(docs: DataFrame, held_out, spec: dict | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = model.value
-        m, cache = _model(spec["root"], tuple(spec.items())), _Hashes(CACHE)
+        m, cache = _model(spec["root"], tuple(spec.items())), WordHashes(CACHE)
         scale = np.log10(float(spec["tokens"] + 1)) + np.log10(float(spec["distinct"] + 1))
         for b in batches:
             texts = b.column(2).to_pylist()

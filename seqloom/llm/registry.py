@@ -23,6 +23,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word 3-grams have a Jaccard similarity of 0.9 or more."""
+    from seqloom.llm.shingle_join import JoinConfig, links
+
+    return links(table(spark, sf_dir, "documents"), JoinConfig(words=3, percent=90))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by segmentation-marginalised piece unigrams."""
     from seqloom.llm.language import identify
@@ -76,6 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_shingle_join": op3_shingle_join,
     "op4_language": op4_language,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_link_trust": op6_link_trust,
