@@ -115,6 +115,11 @@ class WordHashes(TwoGenerations):
         return h
 
 
+def sheltered(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as ``_row``, so that no other column can clash."""
+    return docs.select(F.struct("*").alias("_row"), *names)
+
+
 def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -> DataFrame:
     """``docs`` with the columns of ``fields`` that ``run`` computes batch by batch.
 

@@ -30,7 +30,7 @@ class TrustConfig:
 
     damping: int = 85
     iterations: int = 20
-    threshold: int = UNIT // 2
+    threshold: int = UNIT // 10
     write_every: int = 5
 
 
@@ -61,27 +61,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """``(src, dst, n)``: links between hosts. A link without a host stays on its page's host."""
+    """``(src, dst, n)``: links between different hosts. Links within a host say nothing about it."""
     targets = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"), F.lit(1))
-    # pages of a host mostly link within it: equal targets of a page are counted before they are dealt out
     to = F.transform(
         targets,
         lambda t: F.when(t.rlike("(?i)^[a-z][a-z0-9+.-]*://"), host_of(t))
         .when(t.startswith("//"), ascii_lower(F.regexp_extract(t, "^//([^/?#]*)", 1)))
-        .when(t.rlike("(?i)^[a-z][a-z0-9+.-]*:") | t.startswith("#"), F.lit(None))
-        .otherwise(F.col("host")),
     )
     return (
         pages.where("host <> ''").select("host", F.explode(to).alias("dst"))
-        .where("dst <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
+        .where("dst <> '' and dst <> host").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, cfg: TrustConfig) -> DataFrame:
     """``(kind, host, score)``: personalised PageRanks of several kinds side by side.
 
-    ``seeds`` has ``(kind, host, seed)`` of all hosts, ``links`` ``(kind, src, dst, n, out)``
-    with a link from every host. An iteration is one join and one aggregation.
+    ``seeds`` has ``(kind, host, seed)`` of all hosts, ``links`` ``(kind, src, dst, n, out)``. An
+    iteration is one join and one aggregation. What a host without links would
+    pass on is lost.
     """
     score, last = seeds.withColumn("score", F.col("seed")), None
     start = seeds.withColumn("got", F.lit(0).cast("long"))
@@ -126,10 +124,7 @@ def judge(pages: DataFrame, rules=RULES, cfg: TrustConfig = TrustConfig()) -> Da
     both = links.select(F.lit("good").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("bad").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    # what a host without links holds stays with it
-    dry = seeds.select("kind", F.col("host").alias("src")).join(out, ["kind", "src"], "left_anti").select(
-        "kind", "src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("out"))
-    weighted, _ = scratch.write(both.join(out, ["kind", "src"]).unionByName(dry), "weighted")
+    weighted, _ = scratch.write(both.join(out, ["kind", "src"]), "weighted")
     scores = spread(seeds, weighted, scratch, cfg).groupBy("host").agg(
         F.max(F.when(F.col("kind") == "good", F.col("score"))).alias("trust"),
         F.max(F.when(F.col("kind") == "bad", F.col("score"))).alias("distrust"),
@@ -160,7 +155,6 @@ def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
                   ((100 - {cfg.damping}) * h.{seed} + {cfg.damping} * coalesce(g.got, 0)) // 100 AS score
                 FROM hosts h LEFT JOIN (SELECT host, sum(got)::BIGINT AS got FROM (
                     SELECT l.dst AS host, s.score * l.n // l.total AS got FROM {links} l JOIN {was} s ON l.src = s.host
-                    UNION ALL SELECT host, score FROM {was} WHERE host NOT IN (SELECT src FROM {links})
                 ) GROUP BY host) g ON h.host = g.host)""")
     n = cfg.iterations
     return f"""WITH parts AS (
@@ -174,8 +168,7 @@ def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
     links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, CASE
           WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN {host('t')}
           WHEN starts_with(t, '//') THEN {low("regexp_extract(t, '^//([^/?#]*)', 1)")}
-          WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') OR starts_with(t, '#') THEN NULL
-          ELSE host END AS dst FROM targets) WHERE dst <> '' GROUP BY src, dst),
+          END AS dst FROM targets) WHERE dst <> '' AND dst <> src GROUP BY src, dst),
     hosts AS MATERIALIZED (SELECT h.host, coalesce(p.good, 0) AS good, coalesce(p.bad, 0) AS bad
         FROM (SELECT dst AS host FROM links UNION SELECT host FROM per_host) h LEFT JOIN per_host p ON h.host = p.host),
     forward AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY src)::BIGINT AS total FROM links),

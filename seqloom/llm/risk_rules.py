@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, blocks, with_columns
+from seqloom.llm.common import Scratch, blocks, sheltered, with_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -212,7 +212,7 @@ def verdicts(counted: DataFrame, cuts: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """The documents that no rule rejects, with the columns of ``docs``."""
-    return judged(docs, labels, cfg).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(sheltered(docs, "doc_id", "text", "lang"), labels, cfg).where("_kept").select("_row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import with_columns
+from seqloom.llm.common import sheltered, with_columns
 
 GOOD, BAD, NOTHING = 0, 1, 2
 
@@ -232,7 +232,8 @@ def judged(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
 
 
 def kept(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    return judged(docs, cfg).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are kept, with the columns of ``docs``."""
+    return judged(sheltered(docs, "doc_id", "text"), cfg).where("_kept").select("_row.*")
 
 
 def report(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
