@@ -82,7 +82,7 @@ def column_scores(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFr
 
 
 def score_from_counts(cols: DataFrame, keys=("family",)) -> DataFrame:
-    n = F.col("n")
+    n = F.col("n").cast("double")
     return cols.select(
         *keys, "col", "n", "pair_sum",
         F.when(n > 1, F.col("pair_sum") / (n * (n - 1) / 2)).alias("score"),
@@ -95,11 +95,11 @@ def family_stats(scores: DataFrame) -> DataFrame:
     Integer pair sums are added exactly and divided once, so the mean does not
     depend on the order of addition.
     """
-    n = F.col("n")
+    n = F.col("n").cast("double")
     s = scores.groupBy("family").agg(
         F.max("n").alias("n"),
         F.count(F.lit(1)).alias("len"),
-        F.sum("pair_sum").alias("_s"),
+        F.sum(F.col("pair_sum").cast("decimal(38,0)")).cast("double").alias("_s"),
         F.sum(F.col("pair_sum").cast("decimal(38,0)") * F.col("pair_sum")).cast("double").alias("_q"),
         F.sum((F.col("score") >= K.PEAK_SCORE).cast("long")).alias("_p"),
     )
@@ -116,9 +116,9 @@ def family_stats(scores: DataFrame) -> DataFrame:
 
 def average_score(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean column score per key, -1 when there is no pair or no column."""
-    n = F.col("n")
+    n = F.col("n").cast("double")
     return scores.groupBy(*keys).agg(
-        F.sum("pair_sum").alias("_s"), F.max("n").alias("n"), F.count(F.lit(1)).alias("len")
+        F.sum(F.col("pair_sum").cast("decimal(38,0)")).cast("double").alias("_s"), F.max("n").alias("n"), F.count(F.lit(1)).alias("len")
     ).select(
         *keys, "n", "len",
         F.when(n > 1, F.col("_s") / F.col("len") / (n * (n - 1) / 2)).otherwise(F.lit(-1.0)).alias("avg_score"),

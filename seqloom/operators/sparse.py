@@ -38,12 +38,13 @@ def size_histogram(sizes: DataFrame, bounds: list[int], overflow: int = 666) ->
 
 
 def distance_histogram(distances: DataFrame, bins: int = 10) -> DataFrame:
-    """Distances in equal bins of ``[0, 1]``; a bin contains its upper border."""
+    """Distances in equal bins of ``[0, 1]``; a bin contains its upper border.
+    The pairs above 1 are a row of their own, with bin ``bins``."""
     borders = [(k + 1) / bins for k in range(bins)]
-    bucket = F.lit(None).cast("int")
+    bucket = F.lit(bins)
     for k in range(bins - 1, -1, -1):
         bucket = F.when(F.col("d") <= borders[k], F.lit(k)).otherwise(bucket)
-    return distances.select("family", bucket.alias("bin")).where("bin is not null").groupBy("family", "bin").agg(
+    return distances.select("family", bucket.alias("bin")).groupBy("family", "bin").agg(
         F.count(F.lit(1)).alias("pairs")
     )
 

@@ -14,14 +14,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.windows import running_max, stable_rank
 from seqloom.session import materialize
 
 
+def chain_order(seqs: DataFrame) -> DataFrame:
+    """``(family, idx, q)``: position of each sequence in a fixed pseudo-random order, by digest of its number."""
+    digest = F.conv(F.substring(F.md5(F.col("idx").cast("string")), 1, 13), 16, 10).cast("double")
+    ranked = stable_rank(seqs.select("family", F.col("idx").cast("int").alias("idx")).withColumn("_h", digest), ["family"], "_h", "idx", "q")
+    return ranked.select("family", "idx", "q")
+
+
 def chain_distances(seqs: DataFrame) -> DataFrame:
     """Distances that make any linkage join the sequences one after another, in
-    a fixed pseudo-random order."""
-    w = Window.partitionBy("family").orderBy(F.xxhash64(F.col("idx").cast("long")), "idx")
-    q = seqs.select("family", F.col("idx").cast("int").alias("idx"), (F.row_number().over(w) - 1).alias("q"))
+    the order of ``chain_order``."""
+    q = chain_order(seqs)
     n = seqs.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     x, y = q.toDF("family", "x", "qx"), q.toDF("family", "y", "qy")
     step = F.lit(1.0) / F.floor(F.col("n") * F.col("n") / 2)
@@ -34,7 +41,44 @@ def chain_distances(seqs: DataFrame) -> DataFrame:
     )
 
 
-def build_trees(distances: DataFrame, linkage: str = "upgma", max_rounds: int = 100_000):
+def chained_tree(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, members)`` of the tree that joins one sequence after another.
+
+    What average linkage makes of ``chain_distances``, in closed form: step ``k``
+    joins the sequence of rank ``k`` to all before it, at the mean of its
+    distances. No loop, and no pair of sequences is formed for the nodes.
+    """
+    q = chain_order(seqs)
+    top = running_max(q, ["family"], "q", "idx", "_top")
+    before = top.select("family", (F.col("q") + 1).alias("q"), F.col("_top").alias("_was"))
+    shape = q.groupBy("family").agg(F.count(F.lit(1)).alias("n"), (F.max("idx") + 1).alias("_first"))
+    k = F.col("q")
+    s = top.where("q > 0").join(before, ["family", "q"]).join(shape, "family").select(
+        "family", "q", "idx", "n", (F.col("_first") + k - 1).cast("int").alias("node"),
+        F.when(k == 1, F.col("_was")).otherwise((F.col("_first") + k - 2).cast("int")).alias("_chain"),
+        (F.col("idx") > F.col("_was")).alias("_new_first"),
+        F.round(F.lit(1.0) / F.floor(F.col("n") * F.col("n") / 2) * ((k * k - 1) / 2 + 1), 12).alias("height"),
+    )
+    inner = s.select(
+        "family", "node", F.when(F.col("_new_first"), F.col("idx")).otherwise(F.col("_chain")).alias("left"),
+        F.when(F.col("_new_first"), F.col("_chain")).otherwise(F.col("idx")).alias("right"),
+        (k + 1).cast("long").alias("leaves"), "height", k.cast("int").alias("level"),
+    )
+    child = inner.select("family", F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("parent"),
+                         (F.col("height") * 0.5).alias("dist"))
+    leaves = q.select("family", F.col("idx").alias("node"), F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"),
+                      F.lit(1).cast("long").alias("leaves"), F.lit(0.0).alias("height"), F.lit(0).alias("level"))
+    nodes = inner.unionByName(leaves).join(child, ["family", "node"], "left").select(
+        "family", "node", "left", "right", "parent", F.coalesce("dist", F.lit(0.0)).alias("dist"), "leaves", "height", "level")
+    steps = s.select("family", F.col("q").alias("_k"), "node", "_new_first")
+    new_side = F.when(F.col("_new_first"), "L").otherwise("R")
+    members = q.join(steps, "family").where("q <= _k").select(
+        "family", "node", F.col("idx").alias("leaf"),
+        F.when(F.col("q") == F.col("_k"), new_side).otherwise(F.when(F.col("_new_first"), "R").otherwise("L")).alias("side"))
+    return nodes, members
+
+
+def build_trees(distances: DataFrame, linkage: str = "upgma"):
     """Trees of all families from ``(family, a, b, d)`` with ``a < b``.
 
     Returns ``(nodes, members)``: ``nodes`` has one row per node with its
@@ -53,10 +97,8 @@ def build_trees(distances: DataFrame, linkage: str = "upgma", max_rounds: int =
     leaves = where.select("family", "leaf")
     merges, members, rounds = [], [], 0
     while not state.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("tree construction did not finish")
-        m = materialize(_mutual_nearest(state).withColumn("round", F.lit(rounds)), "tree-merges")
+        rounds += 1  # the nearest pair of every family merges in each round, so there is an end
+        m = materialize(_mutual_nearest(state), "tree-merges")
         merges.append(m)
         moves = m.select("family", F.explode(F.array(
             F.struct(F.col("hi").alias("old"), F.lit("L" if linkage != "single" else "R").alias("side")),
@@ -108,16 +150,17 @@ def _merge_state(state: DataFrame, moves: DataFrame, linkage: str) -> DataFrame:
         F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("ca"),
         F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("cb"),
     )
+    # rounded, so that equal distances stay equal in whatever order they are added
     d = {
         "upgma": F.sum(F.col("w") * F.col("d")) / F.sum("w"),
         "wpgma": F.avg("d"),
         "single": F.min("d"),
     }[linkage]
-    return j.groupBy("family", "a", "b").agg(d.alias("d"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+    return j.groupBy("family", "a", "b").agg(F.round(d, 12).alias("d"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
 
 
 def _finish(merges: DataFrame, members: DataFrame, leaves: DataFrame, linkage: str):
-    w = Window.partitionBy("family").orderBy("merged.height", "round", "hi", "lo")
+    w = Window.partitionBy("family").orderBy("merged.height", "merged.level", "hi", "lo")
     first = leaves.groupBy("family").agg((F.max("leaf") + 1).alias("_first"))
     m = merges.join(first, "family").select(
         "family", (F.col("_first") + F.row_number().over(w) - 1).cast("int").alias("node"),
@@ -239,8 +282,13 @@ def selectivity_distances(pairs: DataFrame, seqs_n: DataFrame, mode: str, select
     if mode == "seed":
         from seqloom.functions.draws import twister_stream
 
-        raws = F.array(*[F.lit(v).cast("long") for v in twister_stream(int(selectivity))])
-        seeds = seqs_n.select("family", F.transform(raws, lambda g: g % F.col("n")).alias("_seeds"))
+        # outputs beyond the largest multiple of n are drawn again
+        count = int(selectivity)
+        raws = F.array(*[F.lit(v).cast("long") for v in twister_stream(4 * count + 64)])
+        fair = F.filter(raws, lambda g: F.floor(g / F.col("n")) < F.floor(F.lit(4294967295) / F.col("n")))
+        drawn = F.slice(fair, 1, count)
+        enough = F.when(F.size(drawn) == count, drawn).otherwise(F.raise_error(F.lit("the stream of random numbers ran out")))
+        seeds = seqs_n.select("family", F.transform(enough, lambda g: g % F.col("n")).alias("_seeds"))
         hit = F.array_contains("_seeds", F.col("a").cast("long")) | F.array_contains("_seeds", F.col("b").cast("long"))
         return pairs.join(seeds, "family").select(
             "family", "a", "b", F.when(hit, F.lit(0.0)).otherwise(F.lit(3.4028234663852886e38)).alias("sel")

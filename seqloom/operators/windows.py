@@ -57,10 +57,25 @@ def prefix_sum(df: DataFrame, keys: list[str], pos: str, value: str, out: str, b
     return joined.withColumn(out, F.sum(value).over(wb) + F.col("_off")).drop("_blk", "_off")
 
 
-def order_bin(x: Column, per_octave: int = 64) -> Column:
-    """Integer bin that never decreases with ``x`` and depends on ``x`` alone."""
-    mag = F.floor(F.log2(F.abs(x)) * per_octave) + F.lit(per_octave * 1100)
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * mag).cast("long")
+def running_max(df: DataFrame, keys: list[str], pos: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Inclusive running maximum of ``value`` in the order of the integer ``pos``."""
+    b = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("long"))
+    w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "_blk").agg(F.max(value).alias("_t")).withColumn("_before", F.max("_t").over(w)).drop("_t")
+    wb = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    return b.join(tops, [*keys, "_blk"]).withColumn(
+        out, F.greatest(F.max(value).over(wb), F.coalesce("_before", F.col(value)))).drop("_blk", "_before")
+
+
+def order_bins(x: Column, per_octave: int = 64, parts: int = 1 << 20) -> tuple[Column, Column]:
+    """Integer bin and bin within the bin; together they never decrease with
+    ``x``, and they depend on ``x`` alone."""
+    place = F.log2(F.abs(x)) * per_octave
+    whole = F.floor(place)
+    sign = F.signum(x).cast("long")
+    coarse = F.when(x == 0, F.lit(0)).otherwise(sign * (whole + F.lit(per_octave * 1100))).cast("long")
+    fine = F.when(x == 0, F.lit(0)).otherwise(sign * F.floor((place - whole) * parts)).cast("long")
+    return coarse, fine
 
 
 def stable_rank(
@@ -68,35 +83,36 @@ def stable_rank(
 ) -> DataFrame:
     """0-based rank by ``(value, tie)`` within ``keys``; ``tie`` is a unique integer.
 
-    Counts per value bin, per value and per block of ties give the offset of
-    every block; rows are only numbered inside a block. Equal values of any
+    Counts per value bin, per bin within the bin, per value and per block of
+    ties give the offset of every block; rows are only numbered inside a block.
+    A narrow range of values falls into many inner bins, and equal values of any
     number are split by ``tie``, so no task sees a whole key.
     """
     v = F.col(value).cast("double")
-    b = (
-        df.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v))
-        .withColumn("_bin", order_bin(F.col("_v")))
-        .withColumn("_tb", F.floor(F.col(tie) / block).cast("long"))
-    )
-    fine = b.groupBy(*keys, "_bin", "_v", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    by_value = fine.groupBy(*keys, "_bin", "_v").agg(F.sum("_n").alias("_nv"))
-    by_bin = by_value.groupBy(*keys, "_bin").agg(F.sum("_nv").alias("_nb"))
+    b = df.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v))
+    coarse, inner = order_bins(F.col("_v"))
+    b = b.withColumn("_bin", coarse).withColumn("_sub", inner).withColumn("_tb", F.floor(F.col(tie) / block).cast("long"))
+    fine = b.groupBy(*keys, "_bin", "_sub", "_v", "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    by_value = fine.groupBy(*keys, "_bin", "_sub", "_v").agg(F.sum("_n").alias("_nv"))
+    by_sub = by_value.groupBy(*keys, "_bin", "_sub").agg(F.sum("_nv").alias("_ns"))
+    by_bin = by_sub.groupBy(*keys, "_bin").agg(F.sum("_ns").alias("_nb"))
 
     def before(d, part, order, n, name):
         w = Window.partitionBy(*part).orderBy(order)
         return d.withColumn(name, F.sum(n).over(w) - F.col(n)).drop(n)
 
     offsets = (
-        before(fine, [*keys, "_bin", "_v"], "_tb", "_n", "_o1")
-        .join(before(by_value, [*keys, "_bin"], "_v", "_nv", "_o2"), [*keys, "_bin", "_v"])
-        .join(before(by_bin, keys, "_bin", "_nb", "_o3"), [*keys, "_bin"])
-        .select(*keys, "_v", "_tb", (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_off"))
+        before(fine, [*keys, "_bin", "_sub", "_v"], "_tb", "_n", "_o1")
+        .join(before(by_value, [*keys, "_bin", "_sub"], "_v", "_nv", "_o2"), [*keys, "_bin", "_sub", "_v"])
+        .join(before(by_sub, [*keys, "_bin"], "_sub", "_ns", "_o3"), [*keys, "_bin", "_sub"])
+        .join(before(by_bin, keys, "_bin", "_nb", "_o4"), [*keys, "_bin"])
+        .select(*keys, "_v", "_tb", (F.col("_o1") + F.col("_o2") + F.col("_o3") + F.col("_o4")).alias("_off"))
     )
     w = Window.partitionBy(*keys, "_v", "_tb").orderBy(tie)
     return (
         b.join(offsets, [*keys, "_v", "_tb"])
         .withColumn(out, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-        .drop("_v", "_bin", "_tb", "_off")
+        .drop("_v", "_bin", "_sub", "_tb", "_off")
     )
 
 

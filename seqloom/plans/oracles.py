@@ -82,7 +82,7 @@ CONV_SEG = (CONV, scored("conv"), regions(LOW, "10"), SEGMENTS)
 
 WORDS = """words AS (
   SELECT CAST(conv_id AS VARCHAR) AS family, CAST(turn AS BIGINT) AS x,
-         regexp_extract_all(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '[A-Z]+') AS ws
+         regexp_extract_all(lower(text), '\\p{L}+') AS ws
   FROM conversations),
 tok AS (SELECT family, x, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM words),
 m AS (
@@ -117,12 +117,15 @@ prop AS (
   FROM grid g LEFT JOIN cnt ON g.family = cnt.family AND g.col = cnt.col LEFT JOIN props ON props.r = cnt.r
   GROUP BY g.family, g.col),
 pscore AS (SELECT *, (bit_count(common) + 10 - bit_count(present)) / 10.0::DOUBLE AS property_score FROM prop)"""
-ENTROPY = PROPERTY + """,
-letters(r) AS (VALUES """ + ", ".join(f"('{ch}')" for ch in K.AMINO) + """),
+_TERM = "(({c}) / (total + 10)) * log2(({c}) / (total + 10))"
+_AMINO_LIST = ", ".join(f"'{ch}'" for ch in K.AMINO)
+# letters that a column lacks all add the same term, so only those it has are listed
+ENTROPY = PROPERTY + f""",
 ent AS (
-  SELECT p.family, p.col, -sum(((coalesce(c, 0) + 0.5::DOUBLE) / (total + 10)) * log2((coalesce(c, 0) + 0.5::DOUBLE) / (total + 10))) / log2(20.0::DOUBLE) AS entropy
-  FROM pscore p CROSS JOIN letters LEFT JOIN cnt ON cnt.family = p.family AND cnt.col = p.col AND cnt.r = letters.r
-  GROUP BY p.family, p.col),
+  SELECT p.family, p.col,
+         -(coalesce(sum({_TERM.format(c="c + 0.5::DOUBLE")}), 0) + (20 - count(c)) * {_TERM.format(c="0.5::DOUBLE")}) / log2(20.0::DOUBLE) AS entropy
+  FROM pscore p LEFT JOIN (SELECT * FROM cnt WHERE r IN ({_AMINO_LIST})) k ON k.family = p.family AND k.col = p.col
+  GROUP BY p.family, p.col, total),
 full_entropy AS (
   SELECT p.family, p.col, entropy, (n - total) / n::DOUBLE AS gap_score,
          (1.0::DOUBLE - entropy) * property_score * (1.0::DOUBLE - (n - total) / n::DOUBLE) AS score
@@ -168,6 +171,113 @@ classes AS (
          CASE WHEN len < 100 THEN 0 WHEN len < 300 THEN 1 WHEN len < 1000 THEN 2 ELSE 3 END AS length_class
   FROM stats)"""
 
+LINKAGE = {
+    "upgma": "sum(na * nb * d) / sum(na * nb)",
+    "wpgma": "avg(d)",
+    "single": "min(d)",
+}
+
+
+def tree(linkage: str, dist: str = "dist") -> str:
+    """The tree of every family, one merge after another.
+
+    Each step finds the nearest pair of a family by ``(distance, larger label,
+    smaller label)``; the cluster keeps the larger label.
+    """
+    left, right = ("lo", "hi") if linkage == "single" else ("hi", "lo")
+    return f"""steps AS (
+  WITH RECURSIVE st(family, a, b, d, na, nb, ha, hb, la, lb, rnd) AS (
+    SELECT family, a, b, d::DOUBLE, 1::BIGINT, 1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0, 1 FROM {dist}
+    UNION ALL
+    SELECT family, least(x, y), greatest(x, y), round({LINKAGE[linkage]}, 12),
+           any_value(CASE WHEN x < y THEN nx ELSE ny END), any_value(CASE WHEN x < y THEN ny ELSE nx END),
+           any_value(CASE WHEN x < y THEN hx ELSE hy END), any_value(CASE WHEN x < y THEN hy ELSE hx END),
+           any_value(CASE WHEN x < y THEN lx ELSE ly END), any_value(CASE WHEN x < y THEN ly ELSE lx END), max(rnd) + 1
+    FROM (
+      SELECT *, CASE WHEN a IN (m.a, m.b) THEN m.b ELSE a END AS x, CASE WHEN b IN (m.a, m.b) THEN m.b ELSE b END AS y,
+             CASE WHEN a IN (m.a, m.b) THEN m.na + m.nb ELSE na END AS nx, CASE WHEN b IN (m.a, m.b) THEN m.na + m.nb ELSE nb END AS ny,
+             CASE WHEN a IN (m.a, m.b) THEN greatest(m.d, m.ha, m.hb) ELSE ha END AS hx,
+             CASE WHEN b IN (m.a, m.b) THEN greatest(m.d, m.ha, m.hb) ELSE hb END AS hy,
+             CASE WHEN a IN (m.a, m.b) THEN greatest(m.la, m.lb) + 1 ELSE la END AS lx,
+             CASE WHEN b IN (m.a, m.b) THEN greatest(m.la, m.lb) + 1 ELSE lb END AS ly
+      FROM (SELECT *, first(struct_pack(a := a, b := b, d := d, na := na, nb := nb, ha := ha, hb := hb, la := la, lb := lb))
+                      OVER (PARTITION BY family ORDER BY d, b, a) AS m FROM st))
+    WHERE x <> y GROUP BY family, least(x, y), greatest(x, y))
+  SELECT * FROM st),
+merges AS (
+  SELECT family, b AS hi, a AS lo, nb AS n_hi, na AS n_lo, na + nb AS leaves, greatest(d, ha, hb) AS height, greatest(la, lb) + 1 AS level
+  FROM steps QUALIFY row_number() OVER (PARTITION BY family, rnd ORDER BY d, b, a) = 1),
+firsts AS (SELECT family, max(b) + 1 AS f FROM {dist} GROUP BY family),
+inner_nodes AS (
+  SELECT m.*, f + row_number() OVER (PARTITION BY m.family ORDER BY height, level, hi, lo) - 1 AS node FROM merges m JOIN firsts USING (family)),
+linked AS (
+  SELECT m.family, m.node, m.leaves, m.height, m.level, coalesce(h.node, m.hi) AS hi_node, coalesce(l.node, m.lo) AS lo_node
+  FROM inner_nodes m LEFT JOIN inner_nodes h ON h.family = m.family AND h.hi = m.hi AND h.leaves = m.n_hi
+  LEFT JOIN inner_nodes l ON l.family = m.family AND l.hi = m.lo AND l.leaves = m.n_lo),
+every_node AS (
+  SELECT family, node, {left}_node AS "left", {right}_node AS "right", leaves, height, level FROM linked
+  UNION ALL SELECT DISTINCT family, x, NULL, NULL, 1, 0.0::DOUBLE, 0 FROM (SELECT family, a AS x FROM {dist} UNION SELECT family, b FROM {dist})),
+nodes AS (
+  SELECT n.family, n.node, n."left", n."right", p.node AS parent, coalesce(p.height * 0.5::DOUBLE, 0) AS dist, n.leaves, n.height, n.level
+  FROM every_node n LEFT JOIN every_node p ON p.family = n.family AND n.node IN (p."left", p."right"))"""
+
+
+NODES = """SELECT family, node, "left", "right", parent, round(dist, 9) AS dist, leaves, round(height, 9) AS height, level FROM nodes"""
+MEMBERS = """members AS (
+  WITH RECURSIVE up(family, leaf, below, node, ups) AS (
+    SELECT family, node, node, parent, 1 FROM nodes WHERE level = 0 AND parent IS NOT NULL
+    UNION ALL SELECT up.family, up.leaf, up.node, n.parent, ups + 1 FROM up JOIN nodes n ON n.family = up.family AND n.node = up.node
+    WHERE n.parent IS NOT NULL)
+  SELECT up.family, up.leaf, up.node, ups, n.leaves, n.level, CASE WHEN below = n."left" THEN 'L' ELSE 'R' END AS side
+  FROM up JOIN nodes n ON n.family = up.family AND n.node = up.node)"""
+TREE_WEIGHTS = """raw_weights AS (
+  SELECT family, leaf, sum(w) AS w FROM (
+    SELECT family, node AS leaf, CASE WHEN parent IS NULL THEN 0 ELSE dist / leaves END AS w FROM nodes WHERE level = 0
+    UNION ALL SELECT m.family, m.leaf, CASE WHEN n.parent IS NULL THEN 0 ELSE n.dist / n.leaves END
+    FROM members m JOIN nodes n ON n.family = m.family AND n.node = m.node) GROUP BY family, leaf),
+weights AS (
+  SELECT family, leaf, w, CASE WHEN sum(w) OVER f = 0 THEN 1.0::DOUBLE / count(*) OVER f ELSE w / sum(w) OVER f END AS weight
+  FROM raw_weights WINDOW f AS (PARTITION BY family))"""
+LEAF_PAIRS = """met AS (
+  SELECT x.family, least(x.leaf, y.leaf) AS a, greatest(x.leaf, y.leaf) AS b, x.node, x.leaves AS subtree, x.level, x.ups + y.ups AS branches
+  FROM members x JOIN members y ON x.family = y.family AND x.node = y.node AND x.side = 'L' AND y.side = 'R')"""
+CHAIN = """turns AS (
+  SELECT family, x, n, row_number() OVER (PARTITION BY family ORDER BY substr(md5(CAST(x AS VARCHAR)), 1, 13), x) - 1 AS q,
+         count(*) OVER (PARTITION BY family) AS k FROM lens),
+chain AS (
+  SELECT u.family, least(u.x, v.x) AS a, greatest(u.x, v.x) AS b,
+         1.0::DOUBLE / (u.k * u.k // 2) * (v.q * (v.q - 1) / 2 + u.q + 1) AS d
+  FROM turns u JOIN turns v ON u.family = v.family AND u.q < v.q)"""
+
+THIRD = """sel AS (SELECT family, a, b, subtree AS d FROM met UNION ALL SELECT family, b, a, subtree FROM met),
+ok AS (
+  SELECT m.family, m.a, m.b, x.b AS z FROM met m JOIN sel x ON x.family = m.family AND x.a = m.a
+  JOIN sel y ON y.family = m.family AND y.a = m.b AND y.b = x.b WHERE greatest(x.d, y.d) <= 200),
+own AS (
+  SELECT m.family, m.a, m.b, (1 + 2.0::DOUBLE * (SELECT count(*) FROM ok WHERE ok.family = m.family AND ok.a = m.a AND ok.b = m.b) / 200.0::DOUBLE)
+         * (u.weight + v.weight) AS w
+  FROM met m JOIN weights u ON u.family = m.family AND u.leaf = m.a JOIN weights v ON v.family = m.family AND v.leaf = m.b),
+third AS (
+  SELECT o.family, o.a, o.b, w.leaf AS z, CASE WHEN k.z IS NULL THEN 0 ELSE w.weight / o.w END AS zw,
+         1 + sum(CASE WHEN k.z IS NULL THEN 0 ELSE w.weight / o.w END) OVER (PARTITION BY o.family, o.a, o.b) AS sum_w
+  FROM own o JOIN weights w ON w.family = o.family LEFT JOIN ok k ON k.family = o.family AND k.a = o.a AND k.b = o.b AND k.z = w.leaf)"""
+
+
+def relaxed(source: str, out: str, cutoff: float) -> str:
+    """One consistency pass over single-precision cells."""
+    return f"""both_{out} AS (SELECT family, a, b, i, j, p FROM {source} UNION ALL SELECT family, b, a, j, i, p FROM {source}),
+through_{out} AS (
+  SELECT x.family, x.a, y.b, x.i, y.j, sum(t.zw * x.p::DOUBLE * y.p::DOUBLE) AS v
+  FROM both_{out} x JOIN both_{out} y ON x.family = y.family AND x.b = y.a AND x.j = y.i
+  JOIN third t ON t.family = x.family AND t.a = x.a AND t.b = y.b AND t.z = x.b WHERE x.a < y.b GROUP BY ALL),
+{out} AS (
+  SELECT * FROM (
+    SELECT m.family, m.a, m.b, m.i, m.j, CAST((m.p::DOUBLE + coalesce(v, 0)) / s.sum_w AS FLOAT) AS p
+    FROM {source} m JOIN (SELECT DISTINCT family, a, b, sum_w FROM third) s ON s.family = m.family AND s.a = m.a AND s.b = m.b
+    LEFT JOIN through_{out} r ON m.family = r.family AND m.a = r.a AND m.b = r.b AND m.i = r.i AND m.j = r.j)
+  WHERE p >= {cutoff!r}::DOUBLE)"""
+
+
 LINE_KEY = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, l_partkey"
 
 ORACLES = {
@@ -353,7 +463,7 @@ chosen AS (SELECT family, col FROM ranked WHERE r = {twister_stream(1)[0]} % m)"
 SELECT conv.family, idx AS leaf, CASE WHEN substr(seq, CAST(col + 1 AS INTEGER), 1) BETWEEN 'A' AND 'Z' THEN 'R' ELSE 'L' END AS side
 FROM conv JOIN chosen ON conv.family = chosen.family"""),
     "distance_hist": with_(WORDS, body="""
-SELECT family, CAST(CASE """ + " ".join(f"WHEN d <= {(k + 1) / 10!r}::DOUBLE THEN {k}" for k in range(10)) + """ END AS BIGINT) AS bin, count(*) AS pairs
+SELECT family, CAST(CASE """ + " ".join(f"WHEN d <= {(k + 1) / 10!r}::DOUBLE THEN {k}" for k in range(10)) + """ ELSE 10 END AS BIGINT) AS bin, count(*) AS pairs
 FROM dist GROUP BY 1, 2"""),
     "posterior_weight_total": with_(WORDS, body="""
 SELECT dist.family, round(sum((1.0::DOUBLE / u.n) * (1.0::DOUBLE / v.n)), 9) AS weight_total
@@ -415,4 +525,25 @@ WHERE b - a > CASE WHEN strategy = 0 THEN 2 ELSE CASE length_class WHEN 0 THEN 1
     "bench_timing": """
 SELECT event_type AS bench, round(avg(value), 6) AS mean_seconds, count(*) AS families FROM events GROUP BY event_type""",
     "stats_merge": "SELECT event_type AS key, round(sum(value), 4) AS value FROM events GROUP BY event_type",
+    "upgma_tree": with_(WORDS, tree("upgma"), body=NODES),
+    "wpgma_tree": with_(WORDS, tree("wpgma"), body=NODES),
+    "single_linkage_tree": with_(WORDS, tree("single"), body=NODES),
+    "chained_tree": with_(WORDS, CHAIN, tree("upgma", "chain"), body=NODES),
+    "tree_weights": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, body="""
+SELECT family, leaf, round(w, 9) AS w, round(weight, 9) AS weight FROM weights"""),
+    "subtree_distances": with_(WORDS, tree("upgma"), MEMBERS, LEAF_PAIRS, body="SELECT family, a, b, node, subtree, level FROM met"),
+    "branch_distances": with_(WORDS, tree("upgma"), MEMBERS, LEAF_PAIRS, body="SELECT family, a, b, branches FROM met"),
+    "alignment_orders": with_(WORDS, tree("upgma"), MEMBERS, body="""
+SELECT n.family, row_number() OVER (PARTITION BY n.family ORDER BY n.node) AS step, n.node, any_value(n."left") AS "left", any_value(n."right") AS "right",
+       string_agg(CAST(leaf AS VARCHAR), ',' ORDER BY leaf) FILTER (side = 'L') AS left_leaves,
+       string_agg(CAST(leaf AS VARCHAR), ',' ORDER BY leaf) FILTER (side = 'R') AS right_leaves
+FROM nodes n JOIN members m ON m.family = n.family AND m.node = n.node GROUP BY n.family, n.node"""),
+    "newick_round_trip": with_(WORDS, tree("upgma"), body="""
+SELECT family, count(*) AS nodes, count(*) FILTER (level = 0) AS leaves, round(sum(dist), 6) AS length FROM nodes GROUP BY family"""),
+    "third_weights": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, LEAF_PAIRS, THIRD, body="""
+SELECT family, a, b, z, round(zw, 6) AS zw, round(sum_w, 6) AS sum_w FROM third"""),
+    "consistency_blocks": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS.replace(
+        "ELSE w / sum(w) OVER f END AS weight", "ELSE greatest(w / sum(w) OVER f, 1e-6) END AS weight"), LEAF_PAIRS, THIRD,
+        "start AS (SELECT family, a, b, i, j, CAST(p AS FLOAT) AS p FROM m)", relaxed("start", "once", 0.01), relaxed("once", "twice", 1e-5), body="""
+SELECT family, a, b, i, j, round(p::DOUBLE, 6) AS p FROM twice"""),
 }

@@ -465,7 +465,7 @@ def gap_expand(spark, sf):
 def row_split(spark, sf):
     st = _conv_state(spark, sf).select("family", "leaf", "cols", "len")
     draws = st.select("family").distinct().withColumn("used", F.lit(0))
-    sides, _ = G.split_by_column(st, draws, twister_stream(16), AlignerConfig(), 30)
+    sides, _ = G.split_by_column(st, draws, twister_stream(16), AlignerConfig())
     return _long(sides, "leaf")
 
 
@@ -615,59 +615,71 @@ def _trees(spark, sf, linkage="upgma"):
     return T.build_trees(_word_distances(spark, sf), linkage)
 
 
+def _nodes(nodes: DataFrame) -> DataFrame:
+    d = nodes.withColumn("dist", F.round("dist", 9)).withColumn("height", F.round("height", 9))
+    return _long(d, "node", "left", "right", "parent", "leaves", "level")
+
+
 @query
 def upgma_tree(spark, sf):
-    return _trees(spark, sf)[0]
+    return _nodes(_trees(spark, sf)[0])
 
 
 @query
 def wpgma_tree(spark, sf):
-    return _trees(spark, sf, "wpgma")[0]
+    return _nodes(_trees(spark, sf, "wpgma")[0])
 
 
 @query
 def single_linkage_tree(spark, sf):
-    return _trees(spark, sf, "single")[0]
+    return _nodes(_trees(spark, sf, "single")[0])
 
 
 @query
 def chained_tree(spark, sf):
-    n = word_lengths(spark, sf).where("len > 0")
-    return T.build_trees(T.chain_distances(n))[0]
+    return _nodes(T.chained_tree(word_lengths(spark, sf).where("len > 0"))[0])
 
 
 @query
 def tree_weights(spark, sf):
-    return T.normalise_weights(T.path_weights(*_trees(spark, sf)))
+    w = T.normalise_weights(T.path_weights(*_trees(spark, sf)))
+    return _long(w.withColumn("w", F.round("w", 9)).withColumn("weight", F.round("weight", 9)), "leaf")
 
 
 @query
 def subtree_distances(spark, sf):
-    return T.leaf_pairs(*_trees(spark, sf))
+    return _long(T.leaf_pairs(*_trees(spark, sf)), "a", "b", "node", "subtree", "level")
 
 
 @query
 def branch_distances(spark, sf):
-    return T.branch_distances(*_trees(spark, sf))
+    return _long(T.branch_distances(*_trees(spark, sf)), "a", "b", "branches")
 
 
 @query
 def alignment_orders(spark, sf):
-    return T.merge_orders(*_trees(spark, sf))
+    o = T.merge_orders(*_trees(spark, sf))
+    said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _long(o.select("family", "step", "node", "left", "right", said("left_leaves"), said("right_leaves")), "step", "node", "left", "right")
 
 
 @query
 def newick_round_trip(spark, sf):
     nodes, _ = _trees(spark, sf)
     names = nodes.where("level = 0").select("family", "node", F.concat(F.lit("t"), F.col("node").cast("string")).alias("name"))
-    return NW.parse(NW.render(nodes, names))
+    back = NW.parse(NW.render(nodes, names))
+    return back.groupBy("family").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("left").isNull()).alias("leaves"), F.round(F.sum("dist"), 6).alias("length"))
 
 
 @query
 def third_weights(spark, sf):
     nodes, members = _trees(spark, sf)
     sel = T.leaf_pairs(nodes, members).select("family", "a", "b", F.col("subtree").cast("double").alias("sel"))
-    return CO.third_weights(sel, T.normalise_weights(T.path_weights(nodes, members)), AlignerConfig())
+    t = CO.third_weights(sel, T.normalise_weights(T.path_weights(nodes, members)), AlignerConfig())
+    t = t.select("family", "a", "b", "sum_w", F.explode(F.arrays_zip("zs", "zw")).alias("z"))
+    t = t.select("family", "a", "b", F.col("z.zs").alias("z"), F.round("z.zw", 6).alias("zw"), F.round("sum_w", 6).alias("sum_w"))
+    return _long(t, "a", "b", "z")
 
 
 def _word_state(spark, sf):
@@ -687,7 +699,8 @@ def consistency_blocks(spark, sf):
     sel = T.leaf_pairs(nodes, members).select("family", "a", "b", F.col("subtree").cast("double").alias("sel"))
     sizes = weights.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     third = materialize(CO.third_weights(sel, weights, AlignerConfig()), "third")
-    return P.unpack(CO.consistency(packed, third, sizes))
+    cells = P.unpack(CO.consistency(packed, third, sizes))
+    return _long(cells.withColumn("p", F.round(F.col("p").cast("double"), 6)), "a", "b", "i", "j")
 
 
 @query
@@ -715,7 +728,8 @@ def local_pair_scores(spark, sf):
 
 @query
 def pair_posterior(spark, sf):
-    return P.pair_posteriors(conversation_sequences(spark, sf)).drop("i", "j", "p")
+    cells = P.unpack(P.pair_posteriors(conversation_sequences(spark, sf)))
+    return cells.withColumn("p", F.round(F.col("p").cast("double"), 6))
 
 
 @query

@@ -20,6 +20,9 @@ def build_session(app: str = "seqloom", master: str | None = None, **conf) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        # a scan is cut for every core, whatever the size of its files
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.files.maxPartitionBytes", "33554432")
     )
     if master:
         b = b.master(master)
@@ -68,14 +71,3 @@ def cpu_partitions(df: DataFrame, factor: int = 3) -> int:
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(shuffle, factor * spark.sparkContext.defaultParallelism)
 
-
-def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
-    """Even out an input that is too small to give every core a scan task.
-
-    A small file may consist of one row group, which one task would then expand
-    cell by cell. Inputs above ``bytes_per_task`` per core are left as scanned,
-    so large tables are not shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size < cores * bytes_per_task else df

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import residues as R
-from seqloom.session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +14,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as aligned rows: family = language, one column per character,
-    every character but an ASCII letter is a gap."""
-    d = spread(load(spark, sf_dir, "documents"))
+    every character but an ASCII letter is a gap (the alphabet of sequences is A-Z;
+    accented letters are no residues)."""
+    d = load(spark, sf_dir, "documents")
     return d.select(
         F.col("lang").alias("family"), F.col("doc_id").alias("idx"),
         F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("header"),
@@ -26,7 +26,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as aligned rows: family = conversation, row = turn."""
-    c = spread(load(spark, sf_dir, "conversations"))
+    c = load(spark, sf_dir, "conversations")
     return c.select(
         F.col("conv_id").cast("string").alias("family"), F.col("turn").alias("idx"),
         F.concat(F.col("role"), F.lit("_"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("header"),
@@ -40,6 +40,11 @@ def conversation_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seq", R.degap(F.col("seq"))).where(F.length("seq") > 0)
 
 
+def words_of(text):
+    """Runs of letters of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse match cells between the turns of a conversation.
 
@@ -47,8 +52,8 @@ def word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     where word ``i`` of turn ``a`` equals word ``j`` of turn ``b`` (1-based), with
     a weight that falls with the distance of the positions.
     """
-    c = spread(load(spark, sf_dir, "conversations"))
-    words = F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit("[A-Z]+"), F.lit(0))
+    c = load(spark, sf_dir, "conversations")
+    words = words_of(F.col("text"))
     w = c.select(
         F.col("conv_id").cast("string").alias("family"), F.col("turn").cast("int").alias("x"),
         F.posexplode(words).alias("p", "word"),
@@ -62,8 +67,8 @@ def word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of words of each turn: ``(family, idx, len)``."""
-    c = spread(load(spark, sf_dir, "conversations"))
-    words = F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit("[A-Z]+"), F.lit(0))
+    c = load(spark, sf_dir, "conversations")
+    words = words_of(F.col("text"))
     return c.select(
         F.col("conv_id").cast("string").alias("family"), F.col("turn").cast("int").alias("idx"),
         F.size(words).cast("long").alias("len"),

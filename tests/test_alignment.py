@@ -305,3 +305,45 @@ def test_classifiers(spark):
     train = VectorAssembler(inputCols=M.STRATEGY_FEATURES, outputCol="features").transform(df.withColumn("label", F.lit(5.0)))
     model = RandomForestClassifier(numTrees=2, maxDepth=2).fit(train)
     assert {r.strategy for r in M.strategy_class(df, model).collect()} == {1}
+
+
+def test_chained_tree_in_closed_form(spark):
+    from pyspark.sql import functions as F
+
+    seqs = spark.createDataFrame([("x", k) for k in range(9)] + [("y", k) for k in range(2)] + [("z", 5)], "family string, idx int")
+    plain = lambda df: sorted(df.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes]).collect(), key=str)
+    nodes, members = T.chained_tree(seqs)
+    want_nodes, want_members = T.build_trees(T.chain_distances(seqs))
+    assert plain(nodes.where("family <> 'z'")) == plain(want_nodes)
+    assert plain(members) == plain(want_members.select(members.columns))
+    assert [r["node"] for r in nodes.where("family = 'z'").collect()] == [5]
+
+
+def test_a_family_refines_alike_alone_and_beside_others(spark):
+    """The floor of usable columns is the configured number, not that of the largest family."""
+    from pyspark.sql import functions as F
+
+    from seqloom.config import AlignerConfig
+    from seqloom.functions.draws import twister_stream
+    from seqloom.operators.progressive import split_by_column
+
+    rows = [("small", k, [c for c in range(12) if (c * 3 + k) % 4], 12) for k in range(6)]
+    rows += [("large", k, [c for c in range(80) if (c * 5 + k) % 3], 80) for k in range(30)]
+    df = spark.createDataFrame(rows, "family string, leaf int, cols array<int>, len int")
+    cfg, found = AlignerConfig(column_fraction=0.5), []
+    for part in (df, df.where("family = 'small'")):
+        draws = part.select("family").distinct().withColumn("used", F.lit(0))
+        sides, _ = split_by_column(part, draws, twister_stream(16), cfg)
+        found.append(sorted(tuple(r) for r in sides.where("family = 'small'").collect()))
+    assert found[0] == found[1] and found[0]
+
+
+def test_a_stream_that_runs_out_is_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from seqloom.functions.draws import uniform_draw
+
+    df = spark.range(1).select(uniform_draw([7, 9], F.lit(2), F.lit(0), F.lit(5)).alias("d"))
+    with pytest.raises(Exception, match="ran out"):
+        df.collect()

@@ -53,3 +53,25 @@ def test_retain_cutoff(spark):
     r = W.retain_cutoff(df, ["k"], "p", [0.9, 0.7, 0.5, 0.3], F.lit(0.3)).first()
     # buckets hold 1.0 | 0.9, 0.8 | 0.7, 0.6 | ...: the fourth cell lies in the third
     assert (r.retain, r.cutoff) == (3, 0.5)
+
+
+def test_stable_rank_of_a_narrow_range(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.windows import order_bins, stable_rank
+
+    df = spark.range(4000).select(F.lit("f").alias("family"), F.col("id").alias("tie"), (1000 + F.pmod(F.col("id") * 7919, F.lit(997)) / 1e6).alias("v"))
+    got = {r["tie"]: r["rank"] for r in stable_rank(df, ["family"], "v", "tie").collect()}
+    values = [(1000 + (k * 7919 % 997) / 1e6, k) for k in range(4000)]
+    assert got == {k: i for i, (_, k) in enumerate(sorted(values))}
+    coarse, fine = order_bins(F.col("v"))
+    assert df.select(coarse).distinct().count() == 1 and df.select(fine).distinct().count() > 50
+
+
+def test_running_max(spark):
+    from seqloom.operators.windows import running_max
+
+    rows = [("a", k, (k * 37) % 101) for k in range(50)]
+    df = spark.createDataFrame(rows, "family string, pos long, v long")
+    got = {r["pos"]: r["m"] for r in running_max(df, ["family"], "pos", "v", "m", block=7).collect()}
+    assert got == {k: max(v for _, p, v in rows if p <= k) for k in range(50)}
