@@ -33,7 +33,11 @@ from seqloom.llm.common import Scratch, WordHashes, blocks
 from seqloom.llm.components import components
 
 CACHE = 400_000
-BUCKET_BITS = 16
+#: The table of frequencies has 2 ** BUCKET_BITS entries of one byte.
+BUCKET_BITS = 22
+SLICE_BITS = 14
+#: Shingles a task gathers before it counts them.
+GATHER = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,44 +145,80 @@ def meeting(x: TreeNode, y: TreeNode, percent: int) -> Iterator[tuple[int, np.nd
 
 
 def measured(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, h1, h2, counts)``: size and digests of every document's set. One more row
-    for each task has the counts of shingles by bucket, and a null size."""
+    """``(doc_id, n, h1, h2, slice, bucket, count)``: size and digests of every document's set.
+
+    Further rows, with a null size, have the counts of shingles that several
+    documents of a task hold, packed for each slice of the table of frequencies.
+    """
+    names = ["doc_id", "n", "h1", "h2", "slice", "bucket", "count"]
+
+    def tally(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        token, count = token[count > 1], count[count > 1].astype(np.int32)
+        bucket = bucket_of(token)
+        at = np.searchsorted(bucket >> SLICE_BITS, np.arange((1 << BUCKET_BITS - SLICE_BITS) + 1))
+        held = np.flatnonzero(at[1:] > at[:-1])
+        cut = lambda x: pa.array([x[at[j] : at[j + 1]].tobytes() for j in held], pa.binary())
+        low = (bucket & ((1 << SLICE_BITS) - 1)).astype(np.uint16)
+        empty = pa.nulls(len(held), pa.int64())
+        return pa.RecordBatch.from_arrays([empty] * 4 + [pa.array(held.astype(np.int32)), cut(low), cut(count)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(CACHE), np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["doc_id", "n", "h1", "h2", "counts"]
+        cache, gathered, held = WordHashes(CACHE), [], 0
         for b in batches:
             texts = b.column(1).to_pylist()
             out = np.zeros((3, len(texts)), np.uint64)
             for i, j in blocks(texts):
                 cache.age()
-                sets = [shingles(t, k, cache) for t in texts[i:j]]
-                for r, h in enumerate(sets, i):
+                for r in range(i, j):
+                    h = shingles(texts[r], k, cache)
                     out[:, r] = len(h), h.sum(dtype=np.uint64), scramble(h).sum(dtype=np.uint64)
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                seen += np.bincount((every >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
+                    gathered.append(h)
+                    held += len(h)
+                if held > GATHER:
+                    yield tally(gathered)
+                    gathered, held = [], 0
             signed = out.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in signed),
-                 pa.nulls(len(texts), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.int64())] * 3, pa.array([seen], pa.list_(pa.int64()))], names)
+                [b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in signed), pa.nulls(len(texts), pa.int32()),
+                 *[pa.nulls(len(texts), pa.binary())] * 2], names)
+        if gathered:
+            yield tally(gathered)
 
     return docs.select("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, counts array<long>")
+        run, "doc_id long, n long, h1 long, h2 long, slice int, bucket binary, count binary")
+
+
+def bucket_of(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def frequency_levels(seen: DataFrame) -> np.ndarray:
+    """Level of frequency of every bucket, two to an octave; 0 for shingles that no two documents of a task share.
+
+    The table has a fixed size, whatever the number of shingles. It only orders
+    them: buckets that several shingles share change no result.
+    """
 
+    def add(table):
+        bucket, count = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+                         for c, t in (("bucket", np.uint16), ("count", np.int32)))
+        total = np.bincount(bucket, count, 1 << SLICE_BITS)
+        level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """Rank of frequency of each bucket, in quarters of octaves above the usual count."""
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(np.floor(4 * np.log2(np.maximum(counts, 1) / usual)), 0, 255).astype(np.uint8)
+    levels = np.zeros((1 << BUCKET_BITS - SLICE_BITS, 1 << SLICE_BITS), np.uint8)
+    rows = seen.where("slice is not null").select("slice", "bucket", "count")
+    for r in rows.groupBy("slice").applyInArrow(add, "slice int, level binary").collect():
+        levels[r["slice"]] = np.frombuffer(r["level"], np.uint8)
+    return levels.ravel()
 
 
 def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
     """``(doc_id, n, h1, h2, bits, prefix, keys)`` of every document with a shingle.
 
     ``prefix`` has the shingles that a similar set must have one of, ``keys`` a
-    few of them that near copies mostly agree on.
+    few of the rarer shared ones, on which near copies mostly agree.
     """
     k, percent, n_keys = cfg.words, cfg.percent, cfg.keys
 
@@ -192,9 +232,14 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
                     h = shingles(texts[r], k, cache)
                     if not len(h):
                         continue
-                    order = np.argsort(level[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
+                    of = level[bucket_of(h)]
+                    order = np.argsort(of, kind="stable")
                     first = h[order[: prefix_length(len(h), percent)]]
-                    keys = [int(first[np.argmin(scramble(first + np.uint64(s)))].view(np.int64)) for s in range(n_keys)]
+                    shared = order[np.count_nonzero(of == 0) :]
+                    keys = []
+                    if len(shared):
+                        some = h[shared[: (len(shared) + 1) // 2]]
+                        keys = [int(some[np.argmin(scramble(some + np.uint64(s)))].view(np.int64)) for s in range(n_keys)]
                     rows.append((r, len(h), int(h.sum(dtype=np.uint64).view(np.int64)),
                                  int(scramble(h).sum(dtype=np.uint64).view(np.int64)),
                                  bitmap(h).tobytes(), first.tobytes(), keys))
@@ -208,16 +253,16 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
         run, "doc_id long, n long, h1 long, h2 long, bits binary, prefix binary, keys array<long>")
 
 
-def shared_tokens(nodes: DataFrame, hot_levels, parts: int, cfg: JoinConfig) -> DataFrame:
+def shared_tokens(nodes: DataFrame, levels, hot: int, parts: int) -> DataFrame:
     """``(token, id, n)`` of the prefix shingles that several nodes have.
 
     A task packs its shingles for each part of the hash space; the part's
-    reducer drops those of one node only. Shingles in buckets with so many counts
-    that they could fill a part are dealt out by node instead, and all kept.
+    reducer drops those of one node only. Shingles above the level ``hot``, so
+    frequent that they could fill a part, are dealt out by node instead, and all kept.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_bucket = hot_levels.value
+        level = levels.value
         for b in batches:
             sets = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             if not sets:
@@ -225,8 +270,8 @@ def shared_tokens(nodes: DataFrame, hot_levels, parts: int, cfg: JoinConfig) ->
             size = [len(s) for s in sets]
             token = np.concatenate(sets)
             node, n = np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)
-            hot = hot_bucket[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-            spread = scramble(token + np.where(hot, node.astype(np.uint64), np.uint64(0)))
+            often = level[bucket_of(token)] >= hot
+            spread = scramble(token + np.where(often, node.astype(np.uint64), np.uint64(0)))
             part = (spread % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, token, node, n = part[order], token[order], node[order], n[order]
@@ -236,13 +281,13 @@ def shared_tokens(nodes: DataFrame, hot_levels, parts: int, cfg: JoinConfig) ->
                 [pa.array(part[at[:-1]].astype(np.int32)), cut(token), cut(node), cut(n)], ["part", "token", "node", "n"])
 
     def reduce(table):
-        hot_bucket = hot_levels.value
+        level = levels.value
         token, node, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
                           for c, t in (("token", np.uint64), ("node", np.int64), ("n", np.int64)))
         order = np.argsort(token, kind="stable")
         token, node, n = token[order], node[order], n[order]
         same = token[1:] == token[:-1]
-        keep = np.r_[same, False] | np.r_[False, same] | hot_bucket[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        keep = np.r_[same, False] | np.r_[False, same] | (level[bucket_of(token)] >= hot)
         return pa.table({"token": token[keep].view(np.int64), "id": node[keep], "n": n[keep]})
 
     return nodes.select("id", "n", "prefix").mapInArrow(pack, "part int, token binary, node binary, n binary").groupBy(
@@ -290,16 +335,13 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
     scratch = Scratch(spark, "shingles")
     percent = cfg.percent
     seen, _ = scratch.write(measured(docs, cfg.words), "measured")
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in seen.where("counts is not null").select(F.posexplode("counts").alias("k", "c")).groupBy("k").agg(
-            F.sum("c").alias("c")).collect():  # as many rows as buckets
-        counts[r["k"]] = r["c"]
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 10_000_000)
-    levels = spark.sparkContext.broadcast(levels_of(counts))
-    hot = spark.sparkContext.broadcast(counts * 8 * parts > max(1, counts.sum()))
+    levels = spark.sparkContext.broadcast(frequency_levels(seen))
     rows = seen.where("n is not null").select("doc_id", "n", "h1", "h2")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     sets, _ = scratch.write(sets, "sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 10_000_000)
+    hot = int(2 * np.log2(max(2.0, total / (8 * parts))))
     nodes = signatures(docs, levels, cfg).withColumnRenamed("doc_id", "id").join(
         sets, ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bits", "prefix", "keys")
     nodes, _ = scratch.write(nodes, "nodes")
@@ -312,7 +354,7 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
     pairs = keyed.join(anchors.where("c > 1"), ["k", "key"]).where(fit & (F.col("id") != F.col("b"))).select(
         F.col("id").alias("a"), "b").distinct()
     edges = verified(pairs, docs, cfg, scratch)
-    part, _ = scratch.write(shared_tokens(nodes, hot, parts, cfg), "tokens")
+    part, _ = scratch.write(shared_tokens(nodes, levels, hot, parts), "tokens")
 
     for last in (False, True):
         found = components(edges, scratch)
