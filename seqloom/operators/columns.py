@@ -24,8 +24,9 @@ def dedup_headers(rows: DataFrame) -> DataFrame:
     )
 
 
-def column_table(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFrame:
-    """Letter counts of every column: ``(*keys, col, n, r_A .. r_Z, pair_sum)``.
+def column_table(rows: DataFrame, seq: str = "seq", keys=("family",), pairs: bool = False) -> DataFrame:
+    """Letter counts of every column: ``(*keys, col, n, r_A .. r_Z)``, with
+    ``pairs`` also ``pair_sum``.
 
     The rows are read once. Each row adds an end mark behind its last column,
     so that the number of rows and the longest row fall out of the same
@@ -39,7 +40,9 @@ def column_table(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFra
     cells = cells.select(*keys, F.col("col").cast("long").alias("col"), R.encode(F.col("x")).alias("_c"))
     aggs = [F.expr(f"count_if(_c = {i}) AS r_{ch}") for i, ch in enumerate(LETTERS)]
     aggs.append(F.expr(f"count_if(_c = {ord('$') - 65}) AS _ends"))
-    counted = cells.groupBy(*keys, "col").agg(*aggs).withColumn("pair_sum", pair_sum())
+    counted = cells.groupBy(*keys, "col").agg(*aggs)
+    if pairs:
+        counted = counted.withColumn("pair_sum", pair_sum())
     raw = materialize(counted, "columns")
     shape = raw.where("_ends > 0").groupBy(*keys).agg(F.sum("_ends").alias("n"), F.max("col").alias("_len"))
     return raw.join(shape, keys).where("col < _len").drop("_ends", "_len")
@@ -78,11 +81,12 @@ def column_scores(rows: DataFrame, seq: str = "seq", keys=("family",)) -> DataFr
 
     A family with one row has no pairs; its score is null.
     """
-    return score_from_counts(column_table(rows, seq, keys), keys)
+    return score_from_counts(column_table(rows, seq, keys, pairs=True), keys)
 
 
 def score_from_counts(cols: DataFrame, keys=("family",)) -> DataFrame:
     n = F.col("n").cast("double")
+    cols = cols if "pair_sum" in cols.columns else cols.withColumn("pair_sum", pair_sum())
     return cols.select(
         *keys, "col", "n", "pair_sum",
         F.when(n > 1, F.col("pair_sum") / (n * (n - 1) / 2)).alias("score"),

@@ -546,4 +546,27 @@ SELECT family, a, b, z, round(zw, 6) AS zw, round(sum_w, 6) AS sum_w FROM third"
         "ELSE w / sum(w) OVER f END AS weight", "ELSE greatest(w / sum(w) OVER f, 1e-6) END AS weight"), LEAF_PAIRS, THIRD,
         "start AS (SELECT family, a, b, i, j, CAST(p AS FLOAT) AS p FROM m)", relaxed("start", "once", 0.01), relaxed("once", "twice", 1e-5), body="""
 SELECT family, a, b, i, j, round(p::DOUBLE, 6) AS p FROM twice"""),
+    "random_row_split": with_(CONV, """
+fam AS (SELECT family, count(*) AS n FROM conv GROUP BY family),
+seq_r AS (
+  WITH RECURSIVE g(family, n, k, r) AS (
+    SELECT family, n, 0, (5 * 3 + 3) % (19 * n) FROM fam
+    UNION ALL SELECT family, n, k + 1, (5 * r + 3) % (19 * n) FROM g WHERE k + 1 < 7 * (n + 1))
+  SELECT family, k // 7 - 1 AS i, r % 2 AS bit FROM g WHERE k % 7 = 6 AND k > 6),
+rows_r AS (SELECT family, idx, row_number() OVER (PARTITION BY family ORDER BY idx) - 1 AS i FROM conv)""", body="""
+SELECT r.family, idx AS leaf, CASE WHEN bit = 1 THEN 'L' ELSE 'R' END AS side FROM rows_r r JOIN seq_r s ON r.family = s.family AND r.i = s.i"""),
+    "tree_row_split": with_(WORDS, tree("upgma"), MEMBERS, f"""
+roots AS (SELECT family, node AS root, 3499211612 % node AS drawn FROM nodes WHERE parent IS NULL)""", body="""
+SELECT n.family, n.node AS leaf, CASE WHEN n.node = drawn OR m.leaf IS NOT NULL THEN 'L' ELSE 'R' END AS side
+FROM nodes n JOIN roots r ON r.family = n.family LEFT JOIN members m ON m.family = n.family AND m.leaf = n.node AND m.node = drawn
+WHERE n.level = 0"""),
+    "refinement_accept": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS family FROM conversations WHERE conv_id % 2 = 0",
+    "column_rank_by_entropy": with_(CONV, counted("conv"), ENTROPY, body="""
+SELECT family, col, row_number() OVER (PARTITION BY family ORDER BY round(score, 9), col) - 1 AS rank FROM full_entropy"""),
+    "classifier_features": with_(CONV, scored("conv"), WORDS, body="""
+SELECT d.family, CAST(CASE WHEN d.avg_pid < 0.01 THEN 1 ELSE 0 END AS BIGINT) AS base_class, round(d.avg_pid, 6) AS avg_pid, round(d.sd_pid, 6) AS sd_pid,
+       round(coalesce(s.avg_sp, 0), 6) AS avg_sp, round(coalesce(s.peak, 0), 6) AS peak, 0.0::DOUBLE AS f2, 0.0::DOUBLE AS f3, 1.0::DOUBLE AS factor
+FROM (SELECT family, avg(1 - d) AS avg_pid, stddev_pop(1 - d) AS sd_pid FROM dist GROUP BY family) d
+LEFT JOIN (SELECT family, avg(score) AS avg_sp, avg(CASE WHEN score >= 1.0 THEN 1.0::DOUBLE ELSE 0.0 END) AS peak FROM scores GROUP BY family) s
+ON s.family = d.family"""),
 }

@@ -175,7 +175,7 @@ def reliable_regions_loose(spark, sf):
 
 def _conv_segments(spark, sf):
     rows = conversation_rows(spark, sf)
-    cols = C.column_table(rows)
+    cols = C.column_table(rows, pairs=True)
     shape = C.family_shape(cols)
     seg = RG.partition_columns(RG.unreliable_regions(C.score_from_counts(cols), 1), shape)
     return rows, shape, seg
@@ -469,6 +469,45 @@ def row_split(spark, sf):
     return _long(sides, "leaf")
 
 
+@query
+def random_row_split(spark, sf):
+    st = _conv_state(spark, sf).select("family", "leaf", "cols", "len")
+    draws = st.select("family").distinct().withColumn("used", F.lit(0))
+    return _long(G.split_at_random(st, draws, 3)[0], "leaf")
+
+
+@query
+def tree_row_split(spark, sf):
+    nodes, members = _trees(spark, sf)
+    rows = nodes.where("level = 0").select("family", F.col("node").alias("leaf"))
+    draws = rows.select("family").distinct().withColumn("used", F.lit(0))
+    return _long(G.split_by_tree(rows, draws, twister_stream(16), nodes, members)[0], "leaf")
+
+
+@query
+def refinement_accept(spark, sf):
+    """Candidates of every other conversation are a column longer."""
+    st = _conv_state(spark, sf).select("family", "leaf", "cols", "len")
+    longer = st.withColumn("len", F.col("len") + F.col("family").cast("long") % 2)
+    return G.accepted(st, longer, st, AlignerConfig())
+
+
+@query
+def column_rank_by_entropy(spark, sf):
+    e = C.column_entropy(_conv_columns(spark, sf)).select("family", "col", F.round("score", 9).alias("score"))
+    e = materialize(e, "entropy")  # the ranking reads the values several times
+    return C.rank_columns_by_score(e).select("family", "col", "rank")
+
+
+@query
+def classifier_features(spark, sf):
+    """Features and class of the base aligner, from the share of equal words."""
+    identities = M.pair_identity_features(_word_distances(spark, sf).withColumn("identity", 1 - F.col("d")))
+    f = M.base_features(identities, C.family_stats(C.column_scores(conversation_rows(spark, sf))))
+    f = M.base_class(f, rules=M.ClassRules(identity=0.01))
+    return _long(f.select("family", "base_class", *[F.round(c, 6).alias(c) for c in ("avg_pid", "sd_pid", "avg_sp", "peak", "f2", "f3", "factor")]), "base_class")
+
+
 def _word_distances(spark, sf):
     """Distance of two turns: one minus the share of word pairs that match."""
     n = word_lengths(spark, sf).where("len > 0")

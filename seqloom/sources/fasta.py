@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
-import os
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import residues as R
 
 
-def list_families(root: str, benches: list[str] | None = None, sub: str = "") -> list[tuple[str, str, str]]:
+def _open(root: str):
+    """File system and path of a URI or of a plain path."""
+    from pyarrow import fs
+
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
+def list_families(spark: SparkSession, root: str, benches: list[str] | None = None, sub: str = "") -> DataFrame:
     """``(bench, family, path)`` of the regular files of each bench folder.
 
-    Names that start with a dot are skipped. Names that start with ``_`` are
-    kept, although Spark's file sources would leave them out silently.
+    ``root`` is a folder on storage that all executors see: a URI or a mounted
+    path. Only the bench folders are listed by the driver; each one's files are
+    listed in a task. Names that start with a dot are skipped. Names that start
+    with ``_`` are kept, although Spark's file sources would leave them out.
     """
-    out = []
-    for bench in sorted(benches or os.listdir(root)):
-        d = os.path.join(root, bench, sub) if sub else os.path.join(root, bench)
-        if not os.path.isdir(d):
-            continue
-        for name in sorted(os.listdir(d)):
-            p = os.path.join(d, name)
-            if not name.startswith(".") and os.path.isfile(p):
-                out.append((bench, name, p))
-    return out
-
-
-def read_texts(spark: SparkSession, files: list[tuple[str, str, str]], partitions: int | None = None) -> DataFrame:
-    """``(bench, family, text)`` of the listed files.
-
-    Only the paths go through the driver; the files are read in the tasks, so
-    they must be on storage that all executors see. Spark's own readers take no
-    file whose name starts with ``_``.
+    from pyarrow import fs
+
+    if benches is None:
+        at, path = _open(root)
+        found = at.get_file_info(fs.FileSelector(path))
+        benches = [f.base_name for f in found if f.type == fs.FileType.Directory]
+
+    def scan(batches):
+        at, path = _open(root)
+        for pdf in batches:
+            out = []
+            for bench in pdf["bench"]:
+                folder = "/".join(x for x in (path.rstrip("/"), bench, sub) if x)
+                for f in at.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                    if f.type == fs.FileType.File and not f.base_name.startswith("."):
+                        out.append((bench, f.base_name, f.path))
+            yield pd.DataFrame(out, columns=["bench", "family", "path"])
+
+    rows = spark.createDataFrame([(b,) for b in sorted(benches)], "bench string")
+    return rows.repartition(max(1, len(benches))).mapInPandas(scan, "bench string, family string, path string")
+
+
+def read_texts(files: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+    """``(bench, family, text)`` of the files that ``list_families`` found below ``root``.
+
+    The files are read in the tasks. Text that isn't UTF-8 is an error.
     """
 
     def fetch(batches):
+        at, _ = _open(root)
         for pdf in batches:
             texts = []
             for p in pdf["path"]:
-                with open(p, encoding="utf-8", errors="replace", newline="") as f:
-                    texts.append(f.read())
+                with at.open_input_stream(p) as f:
+                    texts.append(f.read().decode("utf-8"))
             pdf["text"] = texts
             yield pdf[["bench", "family", "text"]]
 
-    paths = spark.createDataFrame(files, "bench string, family string, path string")
-    n = partitions or max(spark.sparkContext.defaultParallelism, len(files) // 200)
-    return paths.repartition(n).mapInPandas(fetch, "bench string, family string, text string")
+    n = partitions or 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(n).mapInPandas(fetch, "bench string, family string, text string")
 
 
 def parse_fasta(texts: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:

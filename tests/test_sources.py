@@ -32,10 +32,14 @@ def test_hidden_names_are_read(spark, tmp_path):
     d.mkdir()
     for name in ("_under", ".dot", "plain:1"):
         (d / name).write_text(f">h\nAC\n")
-    files = FA.list_families(str(tmp_path))
-    assert [f[1] for f in files] == ["_under", "plain:1"]
-    rec = FA.parse_fasta(FA.read_texts(spark, files, 2))
-    assert {(r.bench, r.family, r.seq) for r in rec.collect()} == {("bench", "_under", "AC"), ("bench", "plain:1", "AC")}
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        files = FA.list_families(spark, root)
+        assert sorted(f["family"] for f in files.collect()) == ["_under", "plain:1"]
+        rec = FA.parse_fasta(FA.read_texts(files, root, 2))
+        assert {(r.bench, r.family, r.seq) for r in rec.collect()} == {("bench", "_under", "AC"), ("bench", "plain:1", "AC")}
+    (d / "broken").write_bytes(b">h\nA\xff")
+    with pytest.raises(Exception, match="decode"):
+        FA.read_texts(FA.list_families(spark, str(tmp_path)), str(tmp_path), 2).collect()
 
 
 MSF = """ some title   MSF: 8  Type: P  Check: 1 ..
