@@ -223,6 +223,17 @@ def rank_columns_by_score(scores: DataFrame, value: str = "score") -> DataFrame:
     return stable_rank(scores, ["family"], value, "col", "rank")
 
 
+def highlight_rows(rows: DataFrame, scores: DataFrame, theta: float, seq: str = "seq") -> DataFrame:
+    """Rows with the residues of columns that score at least ``theta`` in upper case, others in lower case.
+
+    The scores of a family, one for each column, are gathered once; rows change in place.
+    """
+    by_column = scores.groupBy("family").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("col", "score"))), lambda c: c["score"]).alias("_scores"))
+    marked = F.transform(F.split(F.col(seq), ""), lambda x, i: R.highlight(x, F.get("_scores", i), theta))
+    return rows.join(by_column, "family").withColumn(seq, F.array_join(marked, "")).drop("_scores")
+
+
 def residue_columns(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """``(family, idx, pos, col)``: column of the k-th residue, both 1-based."""
     chars = F.filter(

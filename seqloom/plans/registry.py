@@ -143,11 +143,7 @@ def header_dedup(spark, sf):
 @query
 def highlight(spark, sf):
     rows = conversation_rows(spark, sf)
-    scores = C.column_scores(rows).select("family", "col", "score")
-    cells = R.explode_residues(rows, "seq", ("family", "idx"), gap="").withColumn("col", F.col("col").cast("long"))
-    marked = cells.join(scores, ["family", "col"]).withColumn("x", R.highlight(F.col("residue"), F.col("score"), 0.5))
-    part = F.array_sort(F.collect_list(F.struct("col", "x")))
-    return marked.groupBy("family", "idx").agg(F.array_join(F.transform(part, lambda c: c["x"]), "").alias("seq"))
+    return C.highlight_rows(rows, C.column_scores(rows), 0.5).where("seq <> ''").select("family", "idx", "seq")
 
 
 # ---- regions and segments --------------------------------------------------

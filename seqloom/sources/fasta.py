@@ -160,11 +160,3 @@ def parse_any(texts: DataFrame, text: str = "text", strip_gaps: bool = False) ->
     if strip_gaps:
         a = a.withColumn("seq", R.degap(F.col("seq")))
     return a.unionByName(b)
-
-
-def load_clustal(*_a, **_k):
-    raise NotImplementedError("CLUSTAL loading by this entry point is not defined; use parse_blocks")
-
-
-def load_phylip(*_a, **_k):
-    raise NotImplementedError("PHYLIP loading is not defined")

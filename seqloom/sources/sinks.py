@@ -106,10 +106,6 @@ def phylip(rows: DataFrame) -> DataFrame:
     )
 
 
-def save_clustal(*_a, **_k):
-    raise NotImplementedError("CLUSTAL saving by this entry point is not defined; use clustal")
-
-
 def annotation(scores: DataFrame) -> DataFrame:
     """Column reliabilities as text, one number of width four per line."""
     piece = F.concat(F.lpad(F.col("reliability").cast("string"), 4, " "), F.lit("\n"))

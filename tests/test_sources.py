@@ -124,9 +124,3 @@ def test_newick(spark):
     for bad in ("(a,b)", "((a,b);", "(a,b);x"):
         with pytest.raises(ValueError):
             NW.nodes_of(bad)
-
-
-def test_undefined_formats():
-    for f in (FA.load_clustal, FA.load_phylip, K.save_clustal):
-        with pytest.raises(NotImplementedError):
-            f()
