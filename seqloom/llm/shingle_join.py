@@ -38,6 +38,7 @@ BUCKET_BITS = 22
 SLICE_BITS = 14
 #: Shingles a task gathers before it counts them.
 GATHER = 4_000_000
+ROWS_AT_ONCE = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,21 +148,31 @@ def meeting(x: TreeNode, y: TreeNode, percent: int) -> Iterator[tuple[int, np.nd
 def measured(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, n, h1, h2, slice, bucket, count)``: size and digests of every document's set.
 
-    Further rows, with a null size, have the counts of shingles that several
-    documents of a task hold, packed for each slice of the table of frequencies.
+    Further rows, with a null size, have a task's counts of shingles by bucket
+    for each slice of the table of frequencies: all counts of the slice as bytes,
+    or only those that aren't zero with their buckets, whichever is shorter.
     """
     names = ["doc_id", "n", "h1", "h2", "slice", "bucket", "count"]
 
     def tally(sets: list[np.ndarray]) -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(sets), return_counts=True)
-        token, count = token[count > 1], count[count > 1].astype(np.int32)
-        bucket = bucket_of(token)
-        at = np.searchsorted(bucket >> SLICE_BITS, np.arange((1 << BUCKET_BITS - SLICE_BITS) + 1))
-        held = np.flatnonzero(at[1:] > at[:-1])
-        cut = lambda x: pa.array([x[at[j] : at[j + 1]].tobytes() for j in held], pa.binary())
+        bucket, count = np.unique(bucket_of(np.concatenate(sets)), return_counts=True)
+        count = np.minimum(count, 255).astype(np.uint8)
         low = (bucket & ((1 << SLICE_BITS) - 1)).astype(np.uint16)
+        at = np.searchsorted(bucket >> SLICE_BITS, np.arange((1 << BUCKET_BITS - SLICE_BITS) + 1))
+        held, where, counts = np.flatnonzero(at[1:] > at[:-1]), [], []
+        for j in held:
+            i, e = at[j], at[j + 1]
+            if 3 * (e - i) < 1 << SLICE_BITS:
+                where.append(low[i:e].tobytes())
+                counts.append(count[i:e].tobytes())
+            else:
+                dense = np.zeros(1 << SLICE_BITS, np.uint8)
+                dense[low[i:e]] = count[i:e]
+                where.append(b"")
+                counts.append(dense.tobytes())
         empty = pa.nulls(len(held), pa.int64())
-        return pa.RecordBatch.from_arrays([empty] * 4 + [pa.array(held.astype(np.int32)), cut(low), cut(count)], names)
+        return pa.RecordBatch.from_arrays(
+            [empty] * 4 + [pa.array(held.astype(np.int32)), pa.array(where, pa.binary()), pa.array(counts, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, gathered, held = WordHashes(CACHE), [], 0
@@ -193,23 +204,42 @@ def bucket_of(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def frequency_levels(seen: DataFrame) -> np.ndarray:
-    """Level of frequency of every bucket, two to an octave; 0 for shingles that no two documents of a task share.
+def level_of(count: np.ndarray, usual: float) -> np.ndarray:
+    """Level of a bucket's count: how far above the usual one, in quarters of octaves of its spread."""
+    above = np.maximum(count - usual, 0) / np.sqrt(usual + 1)
+    return np.minimum(np.floor(4 * np.log2(1 + above)), 255).astype(np.uint8)
+
+
+def frequency_levels(seen: DataFrame, usual: float) -> np.ndarray:
+    """Level of frequency of every bucket.
 
     The table has a fixed size, whatever the number of shingles. It only orders
-    them: buckets that several shingles share change no result.
+    them: shingles that share a bucket change no result.
     """
 
-    def add(table):
-        bucket, count = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
-                         for c, t in (("bucket", np.uint16), ("count", np.int32)))
-        total = np.bincount(bucket, count, 1 << SLICE_BITS)
-        level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+    def part(table):
+        total = np.zeros(1 << SLICE_BITS, np.int64)
+        for bucket, count in zip(table.column("bucket"), table.column("count")):
+            where, n = np.frombuffer(bucket.as_buffer(), np.uint16), np.frombuffer(count.as_buffer(), np.uint8)
+            if len(where):
+                total[where] += n  # buckets of a row are distinct
+            else:
+                total += n
+        return pa.table({"slice": table.column("slice")[:1], "count": pa.array([total.tobytes()], pa.binary())})
+
+    def whole(table):
+        total = np.zeros(1 << SLICE_BITS, np.int64)
+        for count in table.column("count"):
+            total += np.frombuffer(count.as_buffer(), np.int64)
+        return pa.table({"slice": table.column("slice")[:1], "level": pa.array([level_of(total, usual).tobytes()], pa.binary())})
 
     levels = np.zeros((1 << BUCKET_BITS - SLICE_BITS, 1 << SLICE_BITS), np.uint8)
     rows = seen.where("slice is not null").select("slice", "bucket", "count")
-    for r in rows.groupBy("slice").applyInArrow(add, "slice int, level binary").collect():
+    # in two steps, so that no task adds up the rows of more than about ROWS_AT_ONCE counting tasks
+    salts = 1 + rows.count() // (len(levels) * ROWS_AT_ONCE)
+    some = rows.withColumn("salt", F.pmod(F.xxhash64("count"), F.lit(salts))).groupBy("slice", "salt").applyInArrow(
+        part, "slice int, count binary")
+    for r in some.groupBy("slice").applyInArrow(whole, "slice int, level binary").collect():
         levels[r["slice"]] = np.frombuffer(r["level"], np.uint8)
     return levels.ravel()
 
@@ -218,7 +248,7 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
     """``(doc_id, n, h1, h2, bits, prefix, keys)`` of every document with a shingle.
 
     ``prefix`` has the shingles that a similar set must have one of, ``keys`` a
-    few of the rarer shared ones, on which near copies mostly agree.
+    few of the rarer half, on which near copies mostly agree.
     """
     k, percent, n_keys = cfg.words, cfg.percent, cfg.keys
 
@@ -235,11 +265,8 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
                     of = level[bucket_of(h)]
                     order = np.argsort(of, kind="stable")
                     first = h[order[: prefix_length(len(h), percent)]]
-                    shared = order[np.count_nonzero(of == 0) :]
-                    keys = []
-                    if len(shared):
-                        some = h[shared[: (len(shared) + 1) // 2]]
-                        keys = [int(some[np.argmin(scramble(some + np.uint64(s)))].view(np.int64)) for s in range(n_keys)]
+                    some = h[order[: (len(h) + 1) // 2]]
+                    keys = [int(some[np.argmin(scramble(some + np.uint64(s)))].view(np.int64)) for s in range(n_keys)]
                     rows.append((r, len(h), int(h.sum(dtype=np.uint64).view(np.int64)),
                                  int(scramble(h).sum(dtype=np.uint64).view(np.int64)),
                                  bitmap(h).tobytes(), first.tobytes(), keys))
@@ -254,7 +281,8 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
 
 
 def shared_tokens(nodes: DataFrame, levels, hot: int, parts: int) -> DataFrame:
-    """``(token, id, n)`` of the prefix shingles that several nodes have.
+    """``(token, id, n, room)`` of the prefix shingles that several nodes have; ``room``
+    is the number of shingles from this one on, in the common order.
 
     A task packs its shingles for each part of the hash space; the part's
     reducer drops those of one node only. Shingles above the level ``hot``, so
@@ -269,34 +297,39 @@ def shared_tokens(nodes: DataFrame, levels, hot: int, parts: int) -> DataFrame:
                 continue
             size = [len(s) for s in sets]
             token = np.concatenate(sets)
-            node, n = np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)
+            node, n = np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy().astype(np.int32), size)
+            room = n - np.concatenate([np.arange(k, dtype=np.int32) for k in size])
             often = level[bucket_of(token)] >= hot
             spread = scramble(token + np.where(often, node.astype(np.uint64), np.uint64(0)))
             part = (spread % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, token, node, n = part[order], token[order], node[order], n[order]
+            part, token, node, n, room = part[order], token[order], node[order], n[order], room[order]
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
             cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[at[:-1]].astype(np.int32)), cut(token), cut(node), cut(n)], ["part", "token", "node", "n"])
+                [pa.array(part[at[:-1]].astype(np.int32)), cut(token), cut(node), cut(n), cut(room)],
+                ["part", "token", "node", "n", "room"])
 
     def reduce(table):
         level = levels.value
-        token, node, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
-                          for c, t in (("token", np.uint64), ("node", np.int64), ("n", np.int64)))
+        token, node, n, room = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+                                for c, t in (("token", np.uint64), ("node", np.int64), ("n", np.int32), ("room", np.int32)))
         order = np.argsort(token, kind="stable")
-        token, node, n = token[order], node[order], n[order]
+        token, node, n, room = token[order], node[order], n[order], room[order]
         same = token[1:] == token[:-1]
         keep = np.r_[same, False] | np.r_[False, same] | (level[bucket_of(token)] >= hot)
-        return pa.table({"token": token[keep].view(np.int64), "id": node[keep], "n": n[keep]})
+        return pa.table({"token": token[keep].view(np.int64), "id": node[keep], "n": n[keep], "room": room[keep]})
 
-    return nodes.select("id", "n", "prefix").mapInArrow(pack, "part int, token binary, node binary, n binary").groupBy(
-        "part").applyInArrow(reduce, "token long, id long, n long")
+    return nodes.select("id", "n", "prefix").mapInArrow(pack, "part int, token binary, node binary, n binary, room binary").groupBy(
+        "part").applyInArrow(reduce, "token long, id long, n int, room int")
 
 
 def compatible(a: str, b: str, percent: int):
-    """Whether ranges of sizes hold sizes of similar sets."""
-    return (F.col(f"{a}_most") * 100 >= F.col(f"{b}_least") * percent) & (
+    """Whether ranges of sizes hold sizes of similar sets, and whether this can be
+    the first shingle they share: the overlap is no larger than the shingles from
+    there on. Every similar pair passes at its first common shingle."""
+    first = F.least(f"{a}_room", f"{b}_room") * (100 + percent) >= (F.col(f"{a}_least") + F.col(f"{b}_least")) * percent
+    return first & (F.col(f"{a}_most") * 100 >= F.col(f"{b}_least") * percent) & (
         F.col(f"{b}_most") * 100 >= F.col(f"{a}_least") * percent)
 
 
@@ -335,13 +368,14 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
     scratch = Scratch(spark, "shingles")
     percent = cfg.percent
     seen, _ = scratch.write(measured(docs, cfg.words), "measured")
-    levels = spark.sparkContext.broadcast(frequency_levels(seen))
     rows = seen.where("n is not null").select("doc_id", "n", "h1", "h2")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     sets, _ = scratch.write(sets, "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 10_000_000)
-    hot = int(2 * np.log2(max(2.0, total / (8 * parts))))
+    usual = total / (1 << BUCKET_BITS)
+    levels = spark.sparkContext.broadcast(frequency_levels(seen, usual))
+    hot = max(1, int(level_of(np.float64(usual + total / (8 * parts)), usual)))
     nodes = signatures(docs, levels, cfg).withColumnRenamed("doc_id", "id").join(
         sets, ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bits", "prefix", "keys")
     nodes, _ = scratch.write(nodes, "nodes")
@@ -365,12 +399,12 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
             "id", "n", "component", F.xxhash64("component", F.pmod(F.xxhash64("id"), "of")).alias("node"))
         owner, owner_path = scratch.write(owner, "owner")
         token = part.join(owner.select("id", "component", "node"), "id").groupBy("token", "component", "node").agg(
-            F.min("n").alias("least"), F.max("n").alias("most"))
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
         token, token_path = scratch.write(token, "tree")
         several = token.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         token = token.join(several.select("token"), "token", "left_semi")
-        x = token.select("token", *[F.col(c).alias(f"x_{c}") for c in ("component", "node", "least", "most")])
-        y = token.select("token", *[F.col(c).alias(f"y_{c}") for c in ("component", "node", "least", "most")])
+        x = token.select("token", *[F.col(c).alias(f"x_{c}") for c in ("component", "node", "least", "most", "room")])
+        y = token.select("token", *[F.col(c).alias(f"y_{c}") for c in ("component", "node", "least", "most", "room")])
         meet = x.join(y, "token").where("x_component < y_component").where(compatible("x", "y", percent))
         meet = meet.select("x_node", "y_node").distinct()
         meet, meet_path = scratch.write(meet, "meet")
