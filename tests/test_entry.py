@@ -32,3 +32,21 @@ def test_query_equals_sql(spark, name):
     cur = db.execute(entry.oracle_sql()[name])
     cols = [c[0] for c in cur.description]
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
+
+
+def test_entry_without_the_corpus_folders(tmp_path):
+    """The queries of the library are there when the corpus operators are taken away."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "seqloom", tmp_path / "seqloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') for k in e.queries()), len(e.oracle_sql()) > 80)"],
+        cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=False)
+    assert said.returncode == 0, said.stderr
+    n, ops, many = said.stdout.split()
+    assert int(n) > 90 and ops == "0" and many == "True"
