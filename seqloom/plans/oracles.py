@@ -339,6 +339,9 @@ FROM cells c JOIN scores s ON c.family = s.family AND c.col = s.col GROUP BY c.f
     "segment_partition": with_(*CONV_SEG, body="SELECT family, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, kind FROM segs"),
     "segment_cut": with_(*CONV_SEG, FRAGS, body="SELECT family, s, e, kind, header, frag FROM frags"),
     "segment_recombine": with_(CONV, PADDED, body="SELECT family, header, seq FROM pad"),
+    "segment_replace": with_(*CONV_SEG, FRAGS, body="""
+SELECT family, header, string_agg(CASE WHEN kind = 'unreliable' THEN reverse(frag) ELSE frag END, '' ORDER BY s) AS seq
+FROM frags GROUP BY family, header, idx"""),
     "empty_row_restore": with_(*CONV_SEG, FRAGS, body="""
 SELECT family, s, e, header, frag FROM frags f
 WHERE EXISTS (SELECT 1 FROM frags g WHERE g.family = f.family AND g.s = f.s AND g.e = f.e AND regexp_matches(g.frag, '[A-Z]'))"""),

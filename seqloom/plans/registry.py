@@ -194,6 +194,15 @@ def segment_recombine(spark, sf):
     return RG.recombine(RG.cut_segments(rows, seg, shape))
 
 
+@query
+def segment_replace(spark, sf):
+    """Rows put together again with the unreliable segments turned round."""
+    rows, shape, seg = _conv_segments(spark, sf)
+    frags = RG.cut_segments(rows, seg, shape)
+    turned = frags.withColumn("frag", F.when(F.col("kind") == "unreliable", F.reverse("frag")).otherwise(F.col("frag")))
+    return RG.recombine(turned.select("family", "s", "e", "header", "frag")).select("family", "header", "seq")
+
+
 @query
 def empty_row_restore(spark, sf):
     rows, shape, seg = _conv_segments(spark, sf)
