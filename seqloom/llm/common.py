@@ -84,6 +84,13 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
+def in_slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Record batches of few rows, so that the texts of one are all that Python holds at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 class TwoGenerations(dict):
     """Cache of at most ``2 * limit`` entries that keeps what was used of late."""
 
@@ -133,7 +140,7 @@ def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def batches(each: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in each:
+        for b in in_slices(each):
             made = run(pa.RecordBatch.from_arrays(b.columns[n : n + len(given)], given))
             names = [*b.schema.names[:n], *(f"_made{j}" for j in range(len(made)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.byte_bpe import PATTERN
-from seqloom.llm.common import Scratch, pieces
+from seqloom.llm.common import Scratch, in_slices, pieces
 
 CAPACITY = 2048
 END = 0
@@ -61,7 +61,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             row, number, start, length, crc = [], [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 ids = token_ids(text, path)

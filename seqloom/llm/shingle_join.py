@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, WordHashes, blocks
+from seqloom.llm.common import Scratch, WordHashes, blocks, in_slices
 from seqloom.llm.components import components
 
-CACHE = 400_000
+CACHE = 200_000
 #: The table of frequencies has 2 ** BUCKET_BITS entries of one byte.
 BUCKET_BITS = 22
 SLICE_BITS = 14
 #: Shingles a task gathers before it counts them.
-GATHER = 4_000_000
+GATHER = 2_000_000
 ROWS_AT_ONCE = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,7 +176,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, gathered, held = WordHashes(CACHE), [], 0
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column(1).to_pylist()
             out = np.zeros((3, len(texts)), np.uint64)
             for i, j in blocks(texts):
@@ -254,7 +254,7 @@ def signatures(docs: DataFrame, levels, cfg: JoinConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, level = WordHashes(CACHE), levels.value
-        for b in batches:
+        for b in in_slices(batches):
             texts, rows = b.column(1).to_pylist(), []
             for i, j in blocks(texts):
                 cache.age()
@@ -346,7 +346,7 @@ def verified(pairs: DataFrame, docs: DataFrame, cfg: JoinConfig, scratch: Scratc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, y = WordHashes(CACHE), None, None
-        for batch in batches:
+        for batch in in_slices(batches):
             keep = []
             a_texts, b_ids = batch.column(2), batch.column(1).to_pylist()
             for r in range(batch.num_rows):
@@ -417,7 +417,7 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
             tree.select(F.col("node").alias("y_node"), F.col("leaves").alias("y")), "y_node").select("x", "y")
 
         def run(batches: Iterator[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_slices(batches):
                 a, b = [], []
                 for r in range(batch.num_rows):
                     u, v = TreeNode(batch.column(0)[r].as_py()), TreeNode(batch.column(1)[r].as_py())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import sheltered, with_columns
+from seqloom.llm.common import in_slices, sheltered, with_columns
 
 GOOD, BAD, NOTHING = 0, 1, 2
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> tuple[np.nda
     bits = cfg.hash_bits
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column(0).to_pylist()
             rows = [hashed(t, bits) for t in texts]
             yield pa.RecordBatch.from_arrays(
