@@ -1,18 +1,24 @@
 """Quality rules whose cutoffs are chosen by exact binomial bounds on labelled documents.
 
-Every rule rejects documents with a share above a cutoff. For each stratum
-(language) the labelled good documents are a holdout: a cutoff may be used if
-the exact binomial test refutes, at a level corrected for all rules, strata and
-cutoffs tried, that it rejects more than the allowed share of good documents.
-The lowest such cutoff is used; without one the rule rejects nothing there.
+Every rule rejects documents with a share above a cutoff. Labelled bad documents
+and a fifth of the good ones set an order in which the cutoffs of all rules are
+lowered, one step at a time. The other good documents are the holdout: in every
+stratum (language) the steps are tested in that order, each for all rules
+together, and the first step at which the exact binomial test does not refute
+that more than the allowed share of good documents is rejected ends the
+sequence. The order doesn't depend on the holdout, so no level is divided by
+the number of rules or cutoffs. A stratum with too few good documents to pass
+any test takes the steps certified for all strata pooled, as far as its own
+good documents don't speak against them.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 from collections import defaultdict
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, blocks, sheltered, with_columns
+from seqloom.llm.common import Scratch, blocks, fold, sheltered, with_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,8 +36,9 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class RiskConfig:
-    """``risk``: share of good documents of a stratum that all rules together may
-    reject; ``delta``: probability that this fails anywhere; ``grid``: cutoffs tried.
+    """``risk``: share of good documents that all rules together may reject, of a stratum
+    or, for strata too small to be tested, of all strata pooled; ``delta``: probability
+    that this fails anywhere; ``grid``: cutoffs tried, in rising order.
     Strata in numbers above ``broadcast_strata`` are joined by key instead of being broadcast."""
 
     risk: float = 0.02
@@ -138,45 +145,116 @@ def certified(n: int, rejected: int, risk: float, level: float) -> bool:
     return log_binomial_tail(rejected, n, risk) <= math.log(level)
 
 
-def choose(counts: Iterable, cfg: RiskConfig) -> list[tuple]:
-    """``(stratum, cutoff of each rule)`` from ``(stratum, n, rejected by rule and cutoff)``."""
-    counts = list(counts)
-    level = cfg.delta / max(1, len(counts) * len(RULES) * len(cfg.grid))
-    risk = cfg.risk / len(RULES)
-    out = []
-    for stratum, n, rejected in counts:
-        best = []
-        for r in range(len(RULES)):
-            row = rejected[r * len(cfg.grid) : (r + 1) * len(cfg.grid)]
-            best.append(next((c for c, k in zip(cfg.grid, row) if certified(n, k, risk, level)), None))
-        out.append((stratum, *best))
+def lowering(levels: np.ndarray, bad: np.ndarray, good: np.ndarray, cuts: int) -> list[tuple[int, int]]:
+    """``(rule, cutoff)`` in the order in which cutoffs are lowered, from no rejection to the lowest of all rules.
+
+    ``levels`` has for kinds of documents and rules how many cutoffs a share is
+    above; ``bad`` and ``good`` count the documents of each kind. The next rule is the one that
+    rejects most further bad documents for the good ones it costs."""
+    at, out = [cuts] * levels.shape[1], []
+    alive = np.ones(len(levels), bool)
+    while any(at):
+        best = (-1.0, 0, 0)
+        for r, now in enumerate(at):
+            over = [np.cumsum(np.bincount(levels[alive, r], w[alive], cuts + 1)[::-1])[::-1] for w in (bad, good)]
+            for j in range(now - 1, -1, -1):
+                gain = (over[0][j + 1] + 0.5) / (over[1][j + 1] + 1)
+                if gain > best[0]:
+                    best = (gain, r, j)
+        _, r, j = best
+        out += [(r, k) for k in range(at[r] - 1, j - 1, -1)]
+        at[r] = j
+        alive &= levels[:, r] <= j
     return out
 
 
+def certified_steps(n: int, rejected: list[int], risk: float, level: float) -> int:
+    """How many steps pass before the first that fails; ``rejected`` good documents of ``n`` up to each step."""
+    return next((t for t, k in enumerate(rejected) if not certified(n, k, risk, level)), len(rejected))
+
+
+def refuted(n: int, rejected: int, risk: float, level: float) -> bool:
+    """Whether ``rejected`` of ``n`` good documents shows a false rejection above ``risk``."""
+    return rejected > n * risk and -math.expm1(min(0.0, log_binomial_tail(rejected - 1, n, risk))) < level
+
+
+def tested(sizes: list[tuple[int, int]], cfg: RiskConfig) -> tuple[float, float]:
+    """Least good documents of a stratum that is tested by itself, and the level of every test.
+
+    ``sizes`` has ``(good documents, strata)``. Sizes alone decide, so the level is shared only by
+    strata that can pass and the pooled test."""
+    least, strata = math.inf, 0
+    for n, count in sorted(sizes, reverse=True):
+        if not certified(n, 0, cfg.risk, cfg.delta / (strata + count + 1)):
+            break
+        least, strata = n, strata + count
+    return least, cfg.delta / (strata + 1)
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """``(_stratum, _cut_<rule>)``: the cutoffs each stratum may use.
+    """``(_stratum, _cut_<rule>)``: the cutoffs each stratum may use; the row without
+    stratum is for strata without labelled good documents.
 
-    Only counts of labelled good documents are gathered. A document with
-    several labels is good if all its labels are; null labels say nothing.
+    A document with several labels is good if all its labels are; null labels say
+    nothing. The driver gets counts by kinds of documents (how many cutoffs the
+    shares are above), which the grid bounds.
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    held = counted.where(~base_failed()).join(good.where("q = 1").select("doc_id"), "doc_id")
-    tests = [F.count_if(share(r) > c) for r in RULES for c in cfg.grid]
-    counts = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*tests).alias("rejected"))
+    grid, names = sorted(cfg.grid), list(RULES)
+    label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    level = [functools.reduce(operator.add, [(share(r) > c).cast("int") for c in grid]) for r in RULES]
+    kinds = (
+        counted.where(~base_failed()).join(label, "doc_id")
+        .select("_stratum", F.array(*level).alias("levels"), (F.col("q") == 1).alias("good"), fold("doc_id", 5, 0).alias("tune"))
+        .groupBy("_stratum", "levels", "good", "tune").agg(F.count(F.lit(1)).alias("n"))
+    )
+    kinds, _ = Scratch(counted.sparkSession, "rules").write(kinds, "kinds")
+    tune = kinds.where("tune or not good").groupBy("levels", "good").agg(F.sum("n").alias("n")).collect()
+    is_good, n = np.array([x["good"] for x in tune], bool), np.array([x["n"] for x in tune], float)
+    levels = np.array([x["levels"] for x in tune], np.int64).reshape(-1, len(names))
+    steps = lowering(levels, n * ~is_good, n * is_good, len(grid))
+    place = {s: t for t, s in enumerate(steps)}
+
+    def first(r: int) -> Column:
+        at = [len(steps), *(place[r, j] for j in range(len(grid)))]
+        return F.element_at(F.array(*map(F.lit, at)), F.col("levels")[r] + 1)
+
+    held = kinds.where("good and not tune").select("_stratum", F.least(*map(first, range(len(names)))).alias("step"), "n")
+    per_step = held.groupBy("_stratum", "step").agg(F.sum("n").alias("n"))
+    strata = per_step.groupBy("_stratum").agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("at"))
+    enough = math.ceil(math.log(cfg.delta * 1e-12) / math.log1p(-cfg.risk))  # for any number of strata
+    sizes = strata.groupBy(F.least("n", F.lit(enough)).alias("n")).count().collect()
+    least, alpha = tested([tuple(x) for x in sizes], cfg)
+
+    def sums(at: dict[int, int]) -> list[int]:
+        return list(itertools.accumulate(at.get(t, 0) for t in range(len(steps))))
+
+    everyone = {x["step"]: x["n"] for x in held.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    pooled = certified_steps(sum(everyone.values()), sums(everyone), cfg.risk, alpha)
+
+    def depth(n: int, at: dict[int, int]) -> int:
+        rejected = sums(at)
+        if n >= least:
+            return certified_steps(n, rejected, cfg.risk, alpha)
+        return next((t for t in range(pooled, 0, -1) if not refuted(n, rejected[t - 1], cfg.risk, cfg.delta)), 0)
+
+    def lowest(t: int) -> list[float | None]:
+        done = dict(steps[:t])  # the last step of a rule is its lowest
+        return [grid[done[r]] if r in done else None for r in range(len(names))]
+
     schema = "_stratum string, " + ", ".join(f"_cut_{r} double" for r in RULES)
 
     def run(batches):
-        # all strata are counted before the first level is known, so they come as one row
         for b in batches:
-            for rows in b.column(0).to_pylist():
-                got = choose([(x["_stratum"], x["n"], x["rejected"]) for x in rows or []], cfg)
-                cols = list(zip(*got)) or [()] * (1 + len(RULES))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.string()), *(pa.array(c, pa.float64()) for c in cols[1:])],
-                    ["_stratum", *(f"_cut_{r}" for r in RULES)],
-                )
+            rows = [(x["_stratum"], *lowest(depth(x["n"], dict(x["at"])))) for x in b.to_pylist()]
+            cols = list(zip(*rows)) or [()] * (1 + len(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.string()), *(pa.array(c, pa.float64()) for c in cols[1:])],
+                ["_stratum", *(f"_cut_{r}" for r in RULES)],
+            )
 
-    return counts.agg(F.collect_list(F.struct("_stratum", "n", "rejected")).alias("all")).mapInArrow(run, schema)
+    rest = counted.sparkSession.createDataFrame([(None, *lowest(pooled))], schema)
+    return strata.mapInArrow(run, schema).unionByName(rest)
 
 
 def stratum() -> Column:
@@ -199,15 +277,18 @@ def judged(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -
 
 
 def verdicts(counted: DataFrame, cuts: DataFrame, cfg: RiskConfig) -> DataFrame:
+    rest = cuts.where("_stratum is null").first()
+    cuts = cuts.where("_stratum is not null").withColumn("_known", F.lit(True))
     if cuts.count() <= cfg.broadcast_strata:
         cuts = F.broadcast(cuts)
-    over = [F.coalesce(share(r) > F.col(f"_cut_{r}"), F.lit(False)) for r in RULES]
+    cut = {r: F.when(F.col("_known"), F.col(f"_cut_{r}")).otherwise(F.lit(rest[f"_cut_{r}"]).cast("double")) for r in RULES}
+    over = [F.coalesce(share(r) > cut[r], F.lit(False)) for r in RULES]
     failed = base_failed()
     rejected = failed
     for o in over:
         rejected = rejected | o
     out = counted.join(cuts, "_stratum", "left")
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~rejected)
+    return out.withColumn("_base_failed", failed).withColumn("_kept", ~rejected).drop("_known")
 
 
 def kept(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:

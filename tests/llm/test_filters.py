@@ -84,6 +84,46 @@ def test_cutoffs_are_the_lowest_certified_ones(spark):
         assert got[lang]["_cut_symbols"] == want is not None
 
 
+def test_production_parameters_reject_junk_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    quality = {}
+    for x in labels.collect():
+        quality[x["doc_id"]] = min(x["quality"], quality.get(x["doc_id"], 1))
+    good, bad = Counter(), Counter()
+    for r in risk_rules.report(docs, labels).where("not base_failed").collect():
+        if r["doc_id"] in quality:
+            by = good if quality[r["doc_id"]] else bad
+            by[lang[r["doc_id"]], r["kept"]] += 1
+            if 20 * r["n_symbols"] > r["word_chars"] and not quality[r["doc_id"]]:
+                assert not r["kept"]
+    for la in ("en", "de", "fr", "es"):
+        assert good[la, False] <= 0.02 * (good[la, True] + good[la, False])
+        assert bad[la, False] >= 0.9 * (bad[la, True] + bad[la, False])
+
+
+def test_small_strata_take_the_pooled_cutoffs_unless_their_documents_refute_them(spark):
+    rows, label, junk = [], [], "".join(f" x##{j}" for j in range(5))
+    for k in range(700):
+        la = "en" if k < 600 else "is" if k < 650 else "fo"
+        rows.append((k, prose(k % 50, 24) + (junk if la == "fo" else "") + f" tail{k}", la))
+        label.append((k, 1, 0))
+    rows += [(1000 + k, prose(k, 24) + junk + f" tail{k}", ("en", "is", "fo", "xx", None)[k % 5]) for k in range(50)]
+    label += [(1000 + k, 0, 0) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(label, "doc_id long, quality int, toxic int").where("doc_id < 600 or doc_id >= 630")
+    kept = {r["doc_id"] for r in risk_rules.report(docs, labels, risk_rules.RiskConfig(risk=0.12)).where("kept").collect()}
+    assert set(range(700)) <= kept
+    assert {i for i in kept if i >= 1000} == {1000 + k for k in range(50) if k % 5 == 2}
+
+
+def test_levels_are_shared_by_strata_that_can_pass():
+    cfg = risk_rules.RiskConfig()
+    assert risk_rules.tested([(500, 1), (250, 3), (10, 1000)], cfg) == (250, 0.05 / 5)
+    assert risk_rules.tested([(10, 1000)], cfg) == (math.inf, 0.05)
+
+
 def test_quality_classifier(spark, odd, no_documents):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r for r in weak_quality.report(docs).collect()}
