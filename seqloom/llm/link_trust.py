@@ -5,7 +5,10 @@ block are distrusted seeds, each by the share of its pages. Trust runs along
 links (who is linked from trusted hosts is trusted), distrust against them (who
 links to distrusted hosts is distrusted), both as a personalised PageRank. A
 page without a rule is blocked if the distrust of its host is above its trust
-and above a threshold.
+and above a threshold. As distrust is split over all hosts that link to the same
+place, a page is also blocked if most of what its host could get over links, were
+every host a seed, is distrust, and this share is above that of its trust. Both
+shares are free of the number of hosts that link to the same place.
 
 Scores are whole numbers of billionths, so the result doesn't depend on the
 order of additions. Only DataFrame and SQL functions are used.
@@ -26,11 +29,13 @@ UNIT = 1_000_000_000
 @dataclass(frozen=True)
 class TrustConfig:
     """``damping``: percent of a score that comes over links; ``threshold``: least
-    distrust that blocks, in units; ``write_every``: iterations between written tables."""
+    distrust that blocks, in units; ``linked_share``: least percent of distrust in what links bring
+that blocks; ``write_every``: iterations between written tables."""
 
     damping: int = 85
     iterations: int = 20
     threshold: int = UNIT // 10
+    linked_share: int = 50
     write_every: int = 5
 
 
@@ -75,11 +80,11 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, cfg: TrustConfig) -> DataFrame:
-    """``(kind, host, score)``: personalised PageRanks of several kinds side by side.
+    """``(kind, host, score, linked)``: personalised PageRanks of several kinds side by side.
 
     ``seeds`` has ``(kind, host, seed)`` of all hosts, ``links`` ``(kind, src, dst, n, out)``. An
     iteration is one join and one aggregation. What a host without links would
-    pass on is lost.
+    pass on is lost. ``linked`` is what came over links into the last score.
     """
     score, last = seeds.withColumn("score", F.col("seed")), None
     start = seeds.withColumn("got", F.lit(0).cast("long"))
@@ -89,7 +94,8 @@ def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, cfg: TrustConfi
         )
         score = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.sum("got").alias("got"))
         score = score.select(
-            "kind", "host", F.expr(f"((100 - {cfg.damping}) * seed + {cfg.damping} * got) div 100").alias("score")
+            "kind", "host", F.expr(f"((100 - {cfg.damping}) * seed + {cfg.damping} * got) div 100").alias("score"),
+            F.expr(f"{cfg.damping} * got div 100").alias("linked"),
         )
         if k % cfg.write_every == 0 or k == cfg.iterations:
             score, path = scratch.write(score, f"scores{k}")
@@ -119,18 +125,22 @@ def judge(pages: DataFrame, rules=RULES, cfg: TrustConfig = TrustConfig()) -> Da
     links, _ = scratch.write(host_links(found), "links")
     hosts = links.select(F.col("dst").alias("host")).unionByName(per_host.select("host")).distinct()
     seeds = hosts.join(per_host, "host", "left").select("host", F.explode(F.create_map(
-        F.lit("good"), F.coalesce("good", F.lit(0)), F.lit("bad"), F.coalesce("bad", F.lit(0)))).alias("kind", "seed"))
+        F.lit("good"), F.coalesce("good", F.lit(0)), F.lit("bad"), F.coalesce("bad", F.lit(0)),
+        F.lit("most_good"), F.lit(UNIT).cast("long"), F.lit("most_bad"), F.lit(UNIT).cast("long"))).alias("kind", "seed"))
     seeds, _ = scratch.write(seeds, "hosts")
-    both = links.select(F.lit("good").alias("kind"), "src", "dst", "n").unionByName(
-        links.select(F.lit("bad").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    both = links.select(F.explode(F.array(F.lit("good"), F.lit("most_good"))).alias("kind"), "src", "dst", "n").unionByName(
+        links.select(F.explode(F.array(F.lit("bad"), F.lit("most_bad"))).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     weighted, _ = scratch.write(both.join(out, ["kind", "src"]), "weighted")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     scores = spread(seeds, weighted, scratch, cfg).groupBy("host").agg(
-        F.max(F.when(F.col("kind") == "good", F.col("score"))).alias("trust"),
-        F.max(F.when(F.col("kind") == "bad", F.col("score"))).alias("distrust"),
+        of("good", "score").alias("trust"), of("bad", "score").alias("distrust"), of("most_good", "score").alias("_most_trust"),
+        of("bad", "linked").alias("_linked"), of("most_bad", "linked").alias("_most_linked"),
     )
     t, d = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    guess = F.when((d > t) & (d >= cfg.threshold), "block").otherwise("allow")
+    share = F.when(F.col("_most_linked") > 0, F.col("_linked") / F.col("_most_linked"))
+    linked = (100 * share >= cfg.linked_share) & (share > t / F.col("_most_trust"))
+    guess = F.when(((d > t) & (d >= cfg.threshold)) | linked, "block").otherwise("allow")
     return found.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("_verdict", guess).alias("verdict"),
         t.alias("trust"), d.alias("distrust"),
@@ -138,7 +148,9 @@ def judge(pages: DataFrame, rules=RULES, cfg: TrustConfig = TrustConfig()) -> Da
 
 
 def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
-    """The same in DuckDB's SQL, one step of both rankings per common table expression."""
+    """The same in DuckDB's SQL, one step of both rankings per common table expression.
+
+    It has the absolute threshold alone, without ``linked_share``, so verdicts agree where no host links to another."""
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     name = "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{h + p}'" for _, h, p in order) + " END"

@@ -326,3 +326,20 @@ def test_distrust_runs_against_links_and_trust_along(spark):
         assert (r["trust"], r["distrust"]) == (want["t"][h], want["d"][h])
     assert {h: r["verdict"] for h, r in got.items()} == {
         "bad.net": "block", "farm.com": "block", "friend.com": "block", "good.org": "allow", "liked.com": "allow", "alone.com": "allow"}
+
+
+def test_farms_of_any_size_are_blocked(spark):
+    link = lambda *t: "".join(f'<a href="http://{x}/">' for x in t)
+    rows, want = [], {}
+    for m in (2, 10, 1000):
+        bad = [f"bad{m}x{j}.net" for j in range(2)]
+        rows += [(f"http://{b}/", None) for b in bad]
+        rows += [(f"http://f{k}.farm{m}.com/", link(*bad)) for k in range(m)]
+        want |= {f"f{k}.farm{m}.com": "block" for k in range(m)}
+    # a directory that links to one blocked host among many, and a trusted host that links to a farm's target
+    rows += [("http://directory.com/", link("bad2x0.net", *(f"site{k}.com" for k in range(9)))), ("http://site1.com/", None)]
+    rows += [("http://seed.org/fr/", link("liked.com")), ("http://liked.com/", link("bad1000x0.net", *(f"site{k}.com" for k in range(9))))]
+    want |= {"directory.com": "allow", "site1.com": "allow", "liked.com": "allow"}
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in link_trust.judge(pages).collect()}
+    assert {h: got[h] for h in want} == want
