@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import link_trust
+from seqloom.llm import link_trust, merkle
 from seqloom.llm.common import fold, table
 
 
@@ -80,6 +80,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification after tampering of every document in the Merkle manifest."""
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,5 +96,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_risk_rules": op9_risk_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op6_link_trust": link_trust.oracle_sql()}
+ORACLES: dict[str, str] = {"op6_link_trust": link_trust.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}

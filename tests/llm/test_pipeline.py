@@ -68,7 +68,7 @@ def test_packing_stage(stages):
 def test_run_and_registration(spark, stages):
     assert set(entry.queries()) >= {"pipeline", *(f"op{n}" for n in ())}
     names = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names >= {f"op{n}" for n in range(1, 11)}
     out = corpus_pipeline.run(spark, SF)
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, stages[-1][1].select(key).collect()))
