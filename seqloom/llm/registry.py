@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import link_trust, merkle
+from seqloom.llm import lexical, link_trust, merkle
 from seqloom.llm.common import fold, table
 
 
@@ -85,6 +85,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by Block-Max MaxScore."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -97,5 +102,10 @@ QUERIES = {
     "op9_risk_rules": op9_risk_rules,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op6_link_trust": link_trust.oracle_sql(),
+    "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_lexical_search": lexical.oracle_sql(),
 }
-ORACLES: dict[str, str] = {"op6_link_trust": link_trust.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
