@@ -127,6 +127,64 @@ def sheltered(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), *names)
 
 
+def text_fields(docs: DataFrame, column: str, into: str, fields: str, run) -> DataFrame:
+    """``docs`` with the struct ``into`` of what ``run`` computes from ``column``.
+
+    ``run`` gets a list of texts (a null text: empty) and returns an Arrow array per field. Only this column
+    leaves the JVM, and Python holds the texts of about a block at a time, so other columns
+    may have any name and type. The call counts as not deterministic, as a filter on
+    its result would otherwise repeat it.
+    """
+    import pyarrow as pa
+    import pyarrow.compute
+    from pyspark.sql.pandas.types import to_arrow_type as to_arrow
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(fields)
+
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(c), 0).to_pylist()
+            made = [[] for _ in schema.names]
+            for a, b in cuts(sizes):
+                texts = [t or "" for t in c.slice(a, b - a).to_pylist()]
+                for out, x in zip(made, run(texts)):
+                    out.append(x)
+            if not sizes:
+                made = [[pa.array([], to_arrow(f.dataType))] for f in schema]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in made], schema.names)
+            del c, made
+            release()
+
+    call = F.arrow_udf(batches, schema).asNondeterministic()
+    return docs.withColumn(into, call(docs[column]))
+
+
+def cuts(sizes: list[int], most: int = BLOCK_CHARS, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of positions with about ``most`` bytes and at most ``rows`` rows."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most or k + 1 - first >= rows:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def release() -> None:
+    """Give back what Arrow's pool and the allocator keep, as workers are used again by later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -> DataFrame:
     """``docs`` with the columns of ``fields`` that ``run`` computes batch by batch.
 

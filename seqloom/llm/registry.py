@@ -90,6 +90,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by fixed patterns and by the guess cost of values in credential contexts."""
+    from seqloom.llm.secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -103,6 +110,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lexical_search": op12_lexical_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op6_link_trust": link_trust.oracle_sql(),
