@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from seqloom.session import checkpoint_root
 
@@ -135,11 +140,6 @@ def text_fields(docs: DataFrame, column: str, into: str, fields: str, run) -> Da
     may have any name and type. The call counts as not deterministic, as a filter on
     its result would otherwise repeat it.
     """
-    import pyarrow as pa
-    import pyarrow.compute
-    from pyspark.sql.pandas.types import to_arrow_type as to_arrow
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(fields)
 
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -151,7 +151,7 @@ def text_fields(docs: DataFrame, column: str, into: str, fields: str, run) -> Da
                 for out, x in zip(made, run(texts)):
                     out.append(x)
             if not sizes:
-                made = [[pa.array([], to_arrow(f.dataType))] for f in schema]
+                made = [[pa.array([], to_arrow_type(f.dataType))] for f in schema]
             yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in made], schema.names)
             del c, made
             release()
@@ -174,10 +174,6 @@ def cuts(sizes: list[int], most: int = BLOCK_CHARS, rows: int = 1024) -> Iterato
 
 def release() -> None:
     """Give back what Arrow's pool and the allocator keep, as workers are used again by later stages."""
-    import ctypes
-
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -192,8 +188,6 @@ def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -
     Arrow array per field. All columns of ``docs`` pass through unchanged; inputs
     and fields must carry names that ``docs`` hasn't.
     """
-    import pyarrow as pa
-
     n, given = len(docs.columns), list(inputs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -138,7 +138,7 @@ class Shard:
         within = np.arange(len(term)) - np.repeat(start, df)
         begin = np.flatnonzero(within % BLOCK == 0)
         block = np.cumsum(within % BLOCK == 0) - 1
-        end = np.append(begin[1:], len(term))
+        end = np.append(begin[1:], len(term))[: len(begin)]
         gap = np.diff(doc, prepend=0)
         gap[begin] = 0
         body, at = to_varints(np.stack([gap, tf], 1).ravel())

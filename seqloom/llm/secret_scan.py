@@ -100,7 +100,7 @@ _DATES = [
     *((re.compile(rf"(?=({a}))", re.A), math.log2(150 * 366) + extra) for a, extra in (
         (rf"{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])", 1), (rf"(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2]){_YEAR}", 1),
         (rf"(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]){_YEAR}", 1),
-        (rf"{_YEAR}([-/._])(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01])", 3), (rf"(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2{_YEAR}", 3),
+        (rf"{_YEAR}([-/._])(?:1[0-2]|0?[1-9])\2(?:[12]\d|3[01]|0?[1-9])", 3), (rf"(?:[12]\d|3[01]|0?[1-9])([-/._])(?:1[0-2]|0?[1-9])\2{_YEAR}", 3),
     )),
 ]
 
@@ -187,6 +187,12 @@ class Costs(TwoGenerations):
         return bits
 
 
+@functools.lru_cache(maxsize=2)
+def costs_of(vocabulary: str, cfg: SecretConfig) -> Costs:
+    """The costs a worker keeps."""
+    return Costs(ranked_words(vocabulary), cfg)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, number of the kind, end)`` of the fixed patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) > 5]
@@ -232,12 +238,8 @@ def scanned(docs: DataFrame, vocabulary: str, cfg: SecretConfig = SecretConfig()
     null ids make no difference; further columns of any name pass through.
     """
 
-    @functools.cache
-    def costs() -> Costs:
-        return Costs(ranked_words(vocabulary), cfg)
-
     def run(texts: list[str]) -> list[pa.Array]:
-        known = costs()
+        known = costs_of(vocabulary, cfg)
         known.age()
         rows = []
         for t in texts:
