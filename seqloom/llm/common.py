@@ -94,6 +94,7 @@ def in_slices(batches: Iterator, rows: int = 256) -> Iterator:
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+        release()
 
 
 class TwoGenerations(dict):
@@ -127,9 +128,17 @@ class WordHashes(TwoGenerations):
         return h
 
 
-def sheltered(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and all columns as ``_row``, so that no other column can clash."""
-    return docs.select(F.struct("*").alias("_row"), *names)
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def only(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, whatever characters are in their names."""
+    return docs.select(*["`" + c.replace("`", "``") + "`" for c in names])
 
 
 def text_fields(docs: DataFrame, column: str, into: str, fields: str, run) -> DataFrame:
@@ -179,27 +188,3 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
-
-
-def with_columns(docs: DataFrame, inputs: dict[str, Column], run, fields: str) -> DataFrame:
-    """``docs`` with the columns of ``fields`` that ``run`` computes batch by batch.
-
-    ``run`` gets a record batch of ``inputs`` (in their order) and returns one
-    Arrow array per field. All columns of ``docs`` pass through unchanged; inputs
-    and fields must carry names that ``docs`` hasn't.
-    """
-    n, given = len(docs.columns), list(inputs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def batches(each: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(each):
-            made = run(pa.RecordBatch.from_arrays(b.columns[n : n + len(given)], given))
-            names = [*b.schema.names[:n], *(f"_made{j}" for j in range(len(made)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names)
-
-    out = docs.select(*[docs[c] for c in docs.columns], *[c.alias(a) for a, c in inputs.items()])
-    names = [f.split()[0] for f in fields.split(", ")]
-    made = ", ".join(f"_made{j} {f.split(maxsplit=1)[1]}" for j, f in enumerate(fields.split(", ")))
-    return out.mapInArrow(batches, f"{schema}, {made}").withColumnsRenamed(
-        {f"_made{j}": a for j, a in enumerate(names)}
-    )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, blocks, fold, sheltered, with_columns
+from seqloom.llm.common import Scratch, blocks, fold, only, text_fields, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,13 +38,11 @@ WINDOW = 5
 class RiskConfig:
     """``risk``: share of good documents that all rules together may reject, of a stratum
     or, for strata too small to be tested, of all strata pooled; ``delta``: probability
-    that this fails anywhere; ``grid``: cutoffs tried, in rising order.
-    Strata in numbers above ``broadcast_strata`` are joined by key instead of being broadcast."""
+    that this fails anywhere; ``grid``: cutoffs tried, in rising order."""
 
     risk: float = 0.02
     delta: float = 0.05
     grid: tuple[float, ...] = (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)
-    broadcast_strata: int = 10_000
 
 
 #: Rule to the share it looks at: numerator and denominator of the counts.
@@ -108,24 +106,27 @@ def measure(texts: list[str]) -> list[np.ndarray]:
     return list(out)
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` and the counts as columns ``_c_*``; a null text has no words."""
+COUNTS = ", ".join(f"{f} long" for f in FIELDS)
 
-    def run(b: pa.RecordBatch):
-        return [pa.array(x, pa.int64()) for x in measure(b.column(0).to_pylist())]
 
-    return with_columns(
-        docs, {"_c_text": F.coalesce(docs["text"], F.lit(""))}, run, ", ".join(f"_c_{f} long" for f in FIELDS)
-    )
+def counted_into(docs: DataFrame, into: str) -> DataFrame:
+    """``docs`` and the counts of the text as a struct; a null text has no words."""
+    return text_fields(docs, "text", into, COUNTS, lambda texts: [pa.array(x, pa.int64()) for x in measure(texts)])
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """``docs``, which has no such columns, and the counts as columns ``_c_*``."""
+    out = counted_into(docs, "_counts")
+    return out.select(*docs.columns, *[F.col(f"_counts.{f}").alias(f"_c_{f}") for f in FIELDS])
 
 
-def share(rule: str) -> Column:
+def share(rule: str, at: str = "_c_") -> Column:
     num, den = RULES[rule]
-    return F.col(f"_c_{num}") / F.greatest(F.col(f"_c_{den}"), F.lit(1))
+    return F.col(f"{at}{num}") / F.greatest(F.col(f"{at}{den}"), F.lit(1))
 
 
-def base_failed() -> Column:
-    return (F.col("_c_n_words") < 10) | (100 * F.col("_c_n_repeat_words") > 20 * F.col("_c_n_words"))
+def base_failed(at: str = "_c_") -> Column:
+    return (F.col(f"{at}n_words") < 10) | (100 * F.col(f"{at}n_repeat_words") > 20 * F.col(f"{at}n_words"))
 
 
 def log_binomial_tail(k: int, n: int, p: float) -> float:
@@ -261,49 +262,44 @@ def stratum() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def judged(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """``docs`` with the counts ``_c_*``, ``_base_failed`` and ``_kept``.
+def verdicts(counted: DataFrame, cuts: DataFrame, at: str, language: Column, into: str) -> DataFrame:
+    """``counted`` with whether each row is kept; ``at`` is what the names of its counts begin with."""
+    rest = cuts.where("_stratum is null").first()
+    key, cut = unused(counted, "_cut_key"), unused(counted, "_cuts")
+    cuts = cuts.where("_stratum is not null").select(F.col("_stratum").alias(key), F.struct(*[f"_cut_{r}" for r in RULES]).alias(cut))
+    rejected = base_failed(at)
+    for r in RULES:
+        own = F.when(F.col(key).isNotNull(), F.col(f"{cut}._cut_{r}")).otherwise(F.lit(rest[f"_cut_{r}"]).cast("double"))
+        rejected = rejected | F.coalesce(share(r, at) > own, F.lit(False))
+    out = counted.join(cuts, F.coalesce(language, F.lit("")) == F.col(key), "left")
+    return out.withColumn(into, ~rejected).drop(key, cut)
+
+
+def kept(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
+    """The documents that no rule rejects, with the columns of ``docs``.
 
     Null or empty text has no words and fails the base rules. A null language
     is a stratum of its own. Repeated rows are judged alike; a null id has no
     label. With an empty label table only the base rules reject. Further columns
-    pass through.
+    may have any name and type; they stay in the JVM. Cutoffs come from all labelled
+    documents, which alone are counted for them.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    slim = with_counts(docs.select("doc_id", "text", stratum().alias("_stratum"))).drop("text")
-    slim, _ = scratch.write(slim, "counts")
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    slim = docs.select("doc_id", "text", stratum().alias("_stratum")).join(known, "doc_id", "left_semi")
+    slim, _ = scratch.write(with_counts(slim).drop("text"), "counts")
     cuts, _ = scratch.write(cutoffs(slim, labels, cfg), "cutoffs")
-    return verdicts(with_counts(docs.withColumn("_stratum", stratum())), cuts, cfg)
-
-
-def verdicts(counted: DataFrame, cuts: DataFrame, cfg: RiskConfig) -> DataFrame:
-    rest = cuts.where("_stratum is null").first()
-    cuts = cuts.where("_stratum is not null").withColumn("_known", F.lit(True))
-    if cuts.count() <= cfg.broadcast_strata:
-        cuts = F.broadcast(cuts)
-    cut = {r: F.when(F.col("_known"), F.col(f"_cut_{r}")).otherwise(F.lit(rest[f"_cut_{r}"]).cast("double")) for r in RULES}
-    over = [F.coalesce(share(r) > cut[r], F.lit(False)) for r in RULES]
-    failed = base_failed()
-    rejected = failed
-    for o in over:
-        rejected = rejected | o
-    out = counted.join(cuts, "_stratum", "left")
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~rejected).drop("_known")
-
-
-def kept(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """The documents that no rule rejects, with the columns of ``docs``."""
-    return judged(sheltered(docs, "doc_id", "text", "lang"), labels, cfg).where("_kept").select("_row.*")
+    counts, verdict = unused(docs, "_counts"), unused(docs, "_kept")
+    out = verdicts(counted_into(docs, counts), cuts, f"{counts}.", docs["lang"], verdict)
+    return only(out.where(F.col(verdict)), docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """A row per document with counts and verdicts; documents are read once."""
+    """A row per document with counts and verdicts; documents are read once. Odd rows: as for ``kept``."""
     scratch = Scratch(docs.sparkSession, "rules")
     slim = with_counts(docs.select("doc_id", "text", stratum().alias("_stratum"))).drop("text")
     slim, _ = scratch.write(slim, "counts")
     cuts, _ = scratch.write(cutoffs(slim, labels, cfg), "cutoffs")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return verdicts(slim, cuts, cfg).select(
-        "doc_id", *[F.col(f"_c_{c}").alias(c) for c in names],
-        F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
-    )
+    return verdicts(slim, cuts, "_c_", F.col("_stratum"), "_kept").select(
+        "doc_id", *[F.col(f"_c_{c}").alias(c) for c in names], base_failed().alias("base_failed"), F.col("_kept").alias("kept"))

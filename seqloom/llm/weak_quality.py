@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import in_slices, sheltered, with_columns
+from seqloom.llm.common import in_slices, only, text_fields, unused
 
 GOOD, BAD, NOTHING = 0, 1, 2
 
@@ -173,11 +173,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cfg: Qual
 def train(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> tuple[np.ndarray, Scorer]:
     """Pattern posteriors from all documents, and the scorer from a bounded sample of them."""
 
-    def run(b: pa.RecordBatch):
-        return [pa.array(patterns(b.column(0).to_pylist()), pa.int64())]
-
-    seen = with_columns(docs.select(F.coalesce("text", F.lit("")).alias("_t")), {"_text": F.col("_t")}, run, "_pattern long")
-    found = {r["_pattern"]: r["n"] for r in seen.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = text_fields(docs.select("text"), "text", "_votes", "pattern long", lambda texts: [pa.array(patterns(texts), pa.int64())])
+    seen = seen.groupBy(F.col("_votes.pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    found = {r["pattern"]: r["n"] for r in seen.collect()}
     counts = np.zeros(PATTERNS)
     counts[list(found)] = list(found.values())
     good, _, _ = posteriors(counts, cfg.em_steps, cfg.false_alarms, cfg.least_found)
@@ -207,19 +205,18 @@ def train(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> tuple[np.nda
     return good, fit(rows, labels, cfg)
 
 
-def judged(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """``docs`` with ``_posterior``, ``_score`` and ``_kept``.
+def judged(docs: DataFrame, into: str, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """``docs`` with a struct ``into`` of posterior, score and kept.
 
     A null, empty or very short text (under three bytes) has score 0 and is not
-    kept. Repeated rows and null ids are judged each. Further columns pass
-    through; an empty table gives an empty result.
+    kept. Repeated rows and null ids are judged each. Further columns, of any name and type, pass
+    through in the JVM; an empty table gives an empty result.
     """
     good, scorer = train(docs, cfg)
     model = docs.sparkSession.sparkContext.broadcast((good, scorer))
 
-    def run(b: pa.RecordBatch):
+    def run(texts: list[str]) -> list[pa.Array]:
         posterior, s = model.value
-        texts = b.column(0).to_pylist()
         score = np.array([s.score(t) for t in texts])
         size = np.array([len(t.encode()) for t in texts])
         return [
@@ -227,17 +224,15 @@ def judged(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
             pa.array((score >= s.cutoff) & (size > 2), pa.bool_()),
         ]
 
-    text = {"_q_text": F.coalesce(docs["text"], F.lit(""))}
-    return with_columns(docs, text, run, "_posterior double, _score double, _kept boolean")
+    return text_fields(docs, "text", into, "posterior double, score double, kept boolean", run)
 
 
 def kept(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``."""
-    return judged(sheltered(docs, "doc_id", "text"), cfg).where("_kept").select("_row.*")
+    into = unused(docs, "_judged")
+    return only(judged(docs, into, cfg).where(F.col(f"{into}.kept")), docs.columns)
 
 
 def report(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """``(doc_id, posterior, score, kept)`` of every row."""
-    return judged(docs.select("doc_id", "text"), cfg).select(
-        "doc_id", F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), F.col("_kept").alias("kept")
-    )
+    return judged(docs.select("doc_id", "text"), "_judged", cfg).select("doc_id", "_judged.*")

@@ -1,11 +1,14 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
 from .test_filters import brute_counts
 from .test_near import brute_components, sets_of
-from .conftest import rows_of
+from .conftest import TEXTS, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +30,8 @@ def test_stages_return_documents(stages):
     for docs, got in stages[:-1]:
         assert got.columns == docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert set(map(tuple, got.collect())) <= set(map(tuple, docs.collect()))
-        assert 0 < got.count() < docs.count() or got.count() == docs.count()
+        # rows leave, none comes in, and what stays stays as often as it was
+        assert not Counter(map(tuple, got.collect())) - Counter(map(tuple, docs.collect())) and got.count() > 0.8 * docs.count()
 
 
 def test_rules_stage(stages):
@@ -66,9 +70,49 @@ def test_packing_stage(stages):
 
 
 def test_run_and_registration(spark, stages):
-    assert set(entry.queries()) >= {"pipeline", *(f"op{n}" for n in ())}
     names = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert names >= {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     out = corpus_pipeline.run(spark, SF)
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, stages[-1][1].select(key).collect()))
+
+
+@pytest.fixture(scope="module")
+def awkward(odd):
+    """The odd documents with names that are no identifiers, a nested column and names the stages use themselves."""
+    return odd.withColumns({
+        "my col": F.col("doc_id") * 2, "a-b": F.struct(F.col("n").alias("x y"), F.col("lang").alias("`z.w`")), "a.b": F.array("lang"),
+        "_counts": F.lit(1), "_judged": F.lit(2), "_cuts": F.lit(3), "_cut_key": F.lit("k"), "n_words": F.lit(4), "h1": F.lit(5), "pieces": F.lit(6),
+    })
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_columns(spark, awkward, no_documents, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, awkward, SF)
+    empty = run(spark, no_documents, SF)
+    assert empty.count() == 0
+    if stage == "best_fit_packing":
+        # every row is packed, empty ones too
+        assert got.where("piece = 0").count() == awkward.count()
+        return
+    assert got.columns == awkward.columns and got.schema == awkward.schema and empty.columns == no_documents.columns
+    before, after = (Counter(map(str, x.collect())) for x in (awkward, got))
+    assert not after - before
+    ids = {r["doc_id"] for r in got.select("doc_id").collect()}
+    if stage == "quality_rules":
+        bad = {i for i, t in rows_of(awkward) if (c := brute_counts(t))[0] < 10 or 100 * c[4] > 20 * c[0]}
+        assert ids == {i for i, _ in rows_of(awkward)} - bad
+    if stage == "ngram_jaccard":
+        own = brute_components({i: s for i, s in sets_of(rows_of(awkward), 5).items() if i is not None}, 80)
+        assert {i for i in ids if i is not None} == {i for i, c in own.items() if i == c}
+        assert TEXTS.index(None) in ids
+
+
+def test_composed_stages_on_odd_rows(spark, awkward, tmp_path):
+    docs = awkward
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        got, docs = docs, spark.read.parquet(str(tmp_path / name))
+        assert docs.count() <= got.count() or name == "best_fit_packing"
+    assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
