@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, pieces
+from seqloom.llm.common import Scratch, pieces, release
 
 #: What is no ASCII letter or digit parts terms; A-Z are lower-cased, other letters stay.
 TERM_BYTES = bytes(
@@ -39,7 +39,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Postings of a block.
 BLOCK = 128
 DOC_BITS = 20
-HEADS = 7
+HEADS = 6
 #: The term of the row that holds the documents of a shard; no term is empty.
 HEADER = ""
 
@@ -126,48 +126,69 @@ class Shard:
             fresh, n = both[first], np.add.reduceat(n, first)
         self.keys, self.counts, self.loose, self.held = fresh, n, [], 0
 
-    def rows(self, shard: int) -> pa.RecordBatch:
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
         """The header, then a row per term in the order of first use."""
         self.settle()
         n = np.array(self.lengths, np.int64)
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
-        header = [n.tobytes(), ids.tobytes(), np.array([i is None for i in self.ids], np.uint8).tobytes()]
+        absent = np.array([i is None for i in self.ids], np.uint8)
+        yield _rows(shard, pa.array([HEADER]), [(n > 0).sum()], [n.sum()], *(pa.array([x.tobytes()], pa.binary()) for x in (n, ids, absent)))
         term, doc, tf = self.keys >> DOC_BITS, self.keys & ((1 << DOC_BITS) - 1), self.counts
-        start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        if not len(term):
+            return
+        start = _starts(term)
         df = np.diff(np.append(start, len(term)))
         within = np.arange(len(term)) - np.repeat(start, df)
         begin = np.flatnonzero(within % BLOCK == 0)
         block = np.cumsum(within % BLOCK == 0) - 1
-        end = np.append(begin[1:], len(term))[: len(begin)]
+        end = np.append(begin[1:], len(term))
         gap = np.diff(doc, prepend=0)
         gap[begin] = 0
         body, at = to_varints(np.stack([gap, tf], 1).ravel())
-        # the pairs of a block that no other beats: falling frequency, shorter and shorter documents
-        order = np.lexsort((n[doc], -tf, block))
-        size = n[doc[order]] - block[order] * (1 << 40)
-        least = np.minimum.accumulate(size) if len(size) else size
-        best = order[np.flatnonzero(np.concatenate([[True], least[1:] < least[:-1]]))] if len(size) else order
-        pairs = np.bincount(block[best], minlength=len(begin))
-        sky = np.stack([tf[best], n[doc[best]]], 1)
-        sky_at = np.append(0, np.cumsum(pairs))
-        heads = np.stack([doc[begin], doc[end - 1], at[2 * begin], at[2 * end], sky_at[:-1], sky_at[1:], end - begin], 1)
-        per_term = np.append(np.searchsorted(begin, start), len(begin))  # first block of every term
-        terms = list(self.number)
-        empty = b""
-        cols = [[HEADER], [int((n > 0).sum())], [int(n.sum())], [header[0]], [header[1]], [header[2]]]
-        for k in range(len(terms)):
-            a, b = per_term[k], per_term[k + 1]
-            h = heads[a:b].copy()
-            lo, hi, s0, s1 = h[0, 2], h[-1, 3], h[0, 4], h[-1, 5]
-            h[:, 2:4] -= lo
-            h[:, 4:6] -= s0
-            for col, v in zip(cols, (terms[k].decode(), int(df[k]), 0, h.tobytes(), sky[s0:s1].tobytes(), body[lo:hi].tobytes() or empty)):
-                col.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(cols[0]), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, kinds))],
-            ["shard", "term", "df", "total", "heads", "sky", "body"],
-        )
+        best = undominated(block, tf, n[doc])
+        sky = np.stack([tf[best], n[doc[best]]], 1).astype(np.int32)
+        sky_at = np.append(0, np.cumsum(np.bincount(block[best], minlength=len(begin))))
+        of_term = np.append(np.searchsorted(begin, start), len(begin))  # first block of every term
+        first = np.repeat(of_term[:-1], np.diff(of_term))  # of the term of every block
+        heads = np.stack([
+            doc[begin], doc[end - 1], at[2 * begin] - at[2 * begin[first]], at[2 * end] - at[2 * begin[first]],
+            sky_at[:-1] - sky_at[first], sky_at[1:] - sky_at[first],
+        ], 1).astype(np.int32)
+        terms = pa.array(list(self.number), pa.binary()).cast(pa.string())
+        whole = _rows(
+            shard, terms, df, np.zeros(len(df), np.int64), _binaries(heads, of_term * heads.itemsize * HEADS),
+            _binaries(sky, sky_at[of_term] * sky.itemsize * 2), _binaries(body, at[2 * np.append(start, len(term))]))
+        for k in range(0, whole.num_rows, 8192):
+            yield whole.slice(k, 8192)
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of the bytes of ``data`` as an Arrow array, without a Python object each."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _rows(shard: int, term: pa.Array, df, total, heads: pa.Array, sky: pa.Array, body: pa.Array) -> pa.RecordBatch:
+    numbers = [pa.array(np.full(len(term), shard), pa.int64()), pa.array(np.asarray(df), pa.int64()), pa.array(np.asarray(total), pa.int64())]
+    return pa.RecordBatch.from_arrays(
+        [numbers[0], term, numbers[1], numbers[2], heads, sky, body], ["shard", "term", "df", "total", "heads", "sky", "body"])
+
+
+def undominated(block: np.ndarray, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Postings that no other of their block beats in both frequency and shortness, one of each equal pair, by block.
+
+    In the order of falling frequency these are the ones with shorter and shorter documents."""
+    if int(block[-1]) < 1 << 21 and int(tf.max()) < 1 << 10 and int(n.max()) < 1 << 32:
+        order = np.argsort(block << 42 | ((1 << 10) - tf) << 32 | n)
+    else:
+        order = np.lexsort((n, -tf, block))
+    size = n[order] - (block[order] << 33)  # every block is below all before it
+    least = np.minimum.accumulate(size)
+    return order[np.flatnonzero(np.concatenate([[True], least[1:] < least[:-1]]))]
 
 
 INDEX = "shard long, term string, df long, total long, heads binary, sky binary, body binary"
@@ -184,10 +205,13 @@ def index(docs: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
                 for i, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist()):
                     shard.add(i, text)
                     if shard.bytes >= cfg.shard_bytes or len(shard.ids) >= 1 << 16:
-                        yield shard.rows(part << 32 | made)
+                        yield from shard.rows(part << 32 | made)
                         made, shard = made + 1, Shard()
+                        release()
         if shard.ids:
-            yield shard.rows(part << 32 | made)
+            yield from shard.rows(part << 32 | made)
+        del shard
+        release()
 
     # an empty text holds nothing that could be found
     return docs.where("length(text) > 0").select("doc_id", "text").mapInArrow(build, INDEX)
@@ -197,8 +221,8 @@ class Postings:
     """A term's list in one shard: block maxima at once, blocks on demand."""
 
     def __init__(self, heads: bytes, sky: bytes, body: bytes, m: np.ndarray, docs: int, total: int):
-        self.heads = np.frombuffer(heads, np.int64).reshape(-1, HEADS)
-        pairs = np.frombuffer(sky, np.int64).reshape(-1, 2)
+        self.heads = np.frombuffer(heads, np.int32).reshape(-1, HEADS).astype(np.int64)
+        pairs = np.frombuffer(sky, np.int32).reshape(-1, 2).astype(np.int64)
         self.body, self.m, self.open = np.frombuffer(body, np.uint8), m, {}
         self.first, self.last = self.heads[:, 0], self.heads[:, 1]
         self.most = np.maximum.reduceat(contribution(pairs[:, 0], penalties(pairs[:, 1], docs, total)), self.heads[:, 4])

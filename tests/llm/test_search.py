@@ -180,7 +180,7 @@ def test_maxima_reject_blocks_unread(spark):
     shard = lexical.Shard()
     for k in range(3000):
         shard.add(k, "common " * 3 + f"only{k} " * 5 + ("rare rare rare" if k % 100 == 0 and k < 1500 else "filler " * 40))
-    rows = {r["term"]: r for r in shard.rows(0).to_pylist()}
+    rows = {r["term"]: r for b in shard.rows(0) for r in b.to_pylist()}
     n = np.frombuffer(rows[""]["heads"], np.int64)
     m = lexical.penalties(n, 3000, int(n.sum()))
     lists = {t: lexical.Postings(rows[t]["heads"], rows[t]["sky"], rows[t]["body"], m, 3000, int(n.sum())) for t in ("common", "rare")}
