@@ -241,6 +241,11 @@ weights AS (
 LEAF_PAIRS = """met AS (
   SELECT x.family, least(x.leaf, y.leaf) AS a, greatest(x.leaf, y.leaf) AS b, x.node, x.leaves AS subtree, x.level, x.ups + y.ups AS branches
   FROM members x JOIN members y ON x.family = y.family AND x.node = y.node AND x.side = 'L' AND y.side = 'R')"""
+# a leaf comes behind all leaves left of it: those of the left children of the nodes that have it on the right
+PLACES = """places AS (
+  SELECT m.family, m.leaf, CAST(sum(CASE WHEN m.side = 'R' THEN l.leaves ELSE 0 END) AS BIGINT) AS place, count(*) AS depth
+  FROM members m JOIN nodes n ON n.family = m.family AND n.node = m.node JOIN nodes l ON l.family = n.family AND l.node = n."left"
+  GROUP BY m.family, m.leaf)"""
 CHAIN = """turns AS (
   SELECT family, x, n, row_number() OVER (PARTITION BY family ORDER BY substr(md5(CAST(x AS VARCHAR)), 1, 13), x) - 1 AS q,
          count(*) OVER (PARTITION BY family) AS k FROM lens),
@@ -541,6 +546,14 @@ SELECT n.family, row_number() OVER (PARTITION BY n.family ORDER BY n.node) AS st
        string_agg(CAST(leaf AS VARCHAR), ',' ORDER BY leaf) FILTER (side = 'L') AS left_leaves,
        string_agg(CAST(leaf AS VARCHAR), ',' ORDER BY leaf) FILTER (side = 'R') AS right_leaves
 FROM nodes n JOIN members m ON m.family = n.family AND m.node = n.node GROUP BY n.family, n.node"""),
+    "alignment_intervals": with_(WORDS, tree("upgma"), MEMBERS, PLACES, body="""
+SELECT n.family, row_number() OVER (PARTITION BY n.family ORDER BY n.node) AS step, n.node, any_value(n."left") AS "left", any_value(n."right") AS "right",
+       min(place) AS left_from, min(place) FILTER (side = 'R') AS left_to, min(place) FILTER (side = 'R') AS right_from, max(place) + 1 AS right_to
+FROM nodes n JOIN members m ON m.family = n.family AND m.node = n.node JOIN places p ON p.family = m.family AND p.leaf = m.leaf
+GROUP BY n.family, n.node"""),
+    "leaf_places": with_(WORDS, tree("upgma"), MEMBERS, PLACES, body="SELECT family, leaf, place, depth FROM places"),
+    "parsed_tree_weights": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, body="""
+SELECT family, 't' || leaf AS name, round(w, 9) AS w, round(weight, 9) AS weight FROM weights"""),
     "newick_round_trip": with_(WORDS, tree("upgma"), body="""
 SELECT family, count(*) AS nodes, count(*) FILTER (level = 0) AS leaves, round(sum(dist), 6) AS length FROM nodes GROUP BY family"""),
     "third_weights": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, LEAF_PAIRS, THIRD, body="""

@@ -19,6 +19,7 @@ from seqloom.operators import pairs as P
 from seqloom.operators import progressive as G
 from seqloom.operators import regions as RG
 from seqloom.operators import sparse as S
+from seqloom.operators import tours as TO
 from seqloom.operators import trees as T
 from seqloom.operators import windows as W
 from seqloom.plans import classify as M
@@ -664,6 +665,10 @@ def _nodes(nodes: DataFrame) -> DataFrame:
     return _long(d, "node", "left", "right", "parent", "leaves", "level")
 
 
+def _tour(spark, sf):
+    return materialize(TO.euler_tour(_trees(spark, sf)[0]), "tour")
+
+
 @query
 def upgma_tree(spark, sf):
     return _nodes(_trees(spark, sf)[0])
@@ -686,18 +691,19 @@ def chained_tree(spark, sf):
 
 @query
 def tree_weights(spark, sf):
-    w = T.normalise_weights(T.path_weights(*_trees(spark, sf)))
+    w = T.normalise_weights(TO.path_weights(_tour(spark, sf)))
     return _long(w.withColumn("w", F.round("w", 9)).withColumn("weight", F.round("weight", 9)), "leaf")
 
 
 @query
 def subtree_distances(spark, sf):
-    return _long(T.leaf_pairs(*_trees(spark, sf)), "a", "b", "node", "subtree", "level")
+    p = TO.leaf_pairs(_tour(spark, sf), ["level"]).select("family", "a", "b", "node", "subtree", "level")
+    return _long(p, "a", "b", "node", "subtree", "level")
 
 
 @query
 def branch_distances(spark, sf):
-    return _long(T.branch_distances(*_trees(spark, sf)), "a", "b", "branches")
+    return _long(TO.leaf_pairs(_tour(spark, sf)).select("family", "a", "b", "branches"), "a", "b", "branches")
 
 
 @query
@@ -708,19 +714,46 @@ def alignment_orders(spark, sf):
 
 
 @query
-def newick_round_trip(spark, sf):
+def alignment_intervals(spark, sf):
+    """Merge steps with the places of the leaves of both sides in the order from left to right."""
+    steps = TO.merge_intervals(_tour(spark, sf))
+    return _long(steps, *[c for c in steps.columns if c != "family"])
+
+
+@query
+def leaf_places(spark, sf):
+    """Place of every leaf from left to right, and its depth."""
+    return _long(_tour(spark, sf).where("left is null").select("family", F.col("node").alias("leaf"), F.col("leaf_from").alias("place"), "depth"),
+                 "leaf", "place", "depth")
+
+
+def _written_trees(spark, sf):
     nodes, _ = _trees(spark, sf)
     names = nodes.where("level = 0").select("family", "node", F.concat(F.lit("t"), F.col("node").cast("string")).alias("name"))
-    back = NW.parse(NW.render(nodes, names))
+    return NW.parse(NW.render(nodes, names))
+
+
+@query
+def parsed_tree_weights(spark, sf):
+    """Weights of the sequences in a tree that comes from a text, by name."""
+    nodes = materialize(_written_trees(spark, sf), "parsed-nodes")
+    w = T.normalise_weights(TO.path_weights(TO.euler_tour(nodes)))
+    named = nodes.where("name is not null").select("family", F.col("node").alias("leaf"), "name")
+    return w.join(named, ["family", "leaf"]).select("family", "name", F.round("w", 9).alias("w"), F.round("weight", 9).alias("weight"))
+
+
+@query
+def newick_round_trip(spark, sf):
+    back = _written_trees(spark, sf)
     return back.groupBy("family").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("left").isNull()).alias("leaves"), F.round(F.sum("dist"), 6).alias("length"))
 
 
 @query
 def third_weights(spark, sf):
-    nodes, members = _trees(spark, sf)
-    sel = T.leaf_pairs(nodes, members).select("family", "a", "b", F.col("subtree").cast("double").alias("sel"))
-    t = CO.third_weights(sel, T.normalise_weights(T.path_weights(nodes, members)), AlignerConfig())
+    tour = _tour(spark, sf)
+    sel = TO.leaf_pairs(tour).select("family", "a", "b", F.col("subtree").cast("double").alias("sel"))
+    t = CO.third_weights(sel, T.normalise_weights(TO.path_weights(tour)), AlignerConfig())
     t = t.select("family", "a", "b", "sum_w", F.explode(F.arrays_zip("zs", "zw")).alias("z"))
     t = t.select("family", "a", "b", F.col("z.zs").alias("z"), F.round("z.zw", 6).alias("zw"), F.round("sum_w", 6).alias("sum_w"))
     return _long(t, "a", "b", "z")

@@ -121,6 +121,3 @@ def test_newick(spark):
     assert (n[4].left, n[4].right, n[4].dist) == (0, 1, 0.3)
     assert (n[5].left, n[5].right) == (4, 2) and (n[6].left, n[6].right) == (5, 3)
     assert n[6].parent is None and n[0].parent == 4
-    for bad in ("(a,b)", "((a,b);", "(a,b);x"):
-        with pytest.raises(ValueError):
-            NW.nodes_of(bad)
