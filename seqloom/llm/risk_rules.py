@@ -281,12 +281,11 @@ def kept(docs: DataFrame, labels: DataFrame, cfg: RiskConfig = RiskConfig()) ->
     Null or empty text has no words and fails the base rules. A null language
     is a stratum of its own. Repeated rows are judged alike; a null id has no
     label. With an empty label table only the base rules reject. Further columns
-    may have any name and type; they stay in the JVM. Cutoffs come from all labelled
-    documents, which alone are counted for them.
+    may have any name and type; they stay in the JVM. Texts are counted twice, for the cutoffs and for the
+    verdicts: a join of texts with labels, or a copy of them, would cost more than that.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    slim = docs.select("doc_id", "text", stratum().alias("_stratum")).join(known, "doc_id", "left_semi")
+    slim = docs.select("doc_id", "text", stratum().alias("_stratum"))
     slim, _ = scratch.write(with_counts(slim).drop("text"), "counts")
     cuts, _ = scratch.write(cutoffs(slim, labels, cfg), "cutoffs")
     counts, verdict = unused(docs, "_counts"), unused(docs, "_kept")
