@@ -90,7 +90,7 @@ def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, cfg: TrustConfi
     start = seeds.withColumn("got", F.lit(0).cast("long"))
     for k in range(1, cfg.iterations + 1):
         moved = links.join(score.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), F.lit(0).cast("long").alias("seed"), F.expr("score * n div out").alias("got")
+            "kind", F.col("dst").alias("host"), F.lit(0).cast("long").alias("seed"), F.expr("cast(score as decimal(19,0)) * cast(n as decimal(19,0)) div cast(out as decimal(19,0))").alias("got")
         )
         score = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.sum("got").alias("got"))
         score = score.select(
@@ -148,9 +148,8 @@ def judge(pages: DataFrame, rules=RULES, cfg: TrustConfig = TrustConfig()) -> Da
 
 
 def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
-    """The same in DuckDB's SQL, one step of both rankings per common table expression.
-
-    It has the absolute threshold alone, without ``linked_share``, so verdicts agree where no host links to another."""
+    """The same in DuckDB's SQL, one step of a ranking per common table expression; the rankings
+    from all hosts (``m``) tell what links could bring at most."""
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     name = "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{h + p}'" for _, h, p in order) + " END"
@@ -158,15 +157,16 @@ def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda x: low(f"regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1)")
     steps = []
-    for kind, seed, links in (("t", "good", "forward"), ("d", "bad", "back")):
-        steps.append(f"{kind}0 AS (SELECT host, {seed} AS seed, {seed} AS score FROM hosts)")
+    for kind, seed, links in (("t", "good", "forward"), ("d", "bad", "back"), ("mt", "most", "forward"), ("md", "most", "back")):
+        steps.append(f"{kind}0 AS (SELECT host, {seed} AS seed, {seed} AS score, 0 AS linked FROM hosts)")
         for k in range(1, cfg.iterations + 1):
             was = f"{kind}{k - 1}"
             steps.append(f"""{kind}{k} AS MATERIALIZED (
                 SELECT h.host, h.{seed} AS seed,
-                  ((100 - {cfg.damping}) * h.{seed} + {cfg.damping} * coalesce(g.got, 0)) // 100 AS score
+                  ((100 - {cfg.damping}) * h.{seed} + {cfg.damping} * coalesce(g.got, 0)) // 100 AS score,
+                  {cfg.damping} * coalesce(g.got, 0) // 100 AS linked
                 FROM hosts h LEFT JOIN (SELECT host, sum(got)::BIGINT AS got FROM (
-                    SELECT l.dst AS host, s.score * l.n // l.total AS got FROM {links} l JOIN {was} s ON l.src = s.host
+                    SELECT l.dst AS host, s.score::HUGEINT * l.n // l.total AS got FROM {links} l JOIN {was} s ON l.src = s.host
                 ) GROUP BY host) g ON h.host = g.host)""")
     n = cfg.iterations
     return f"""WITH parts AS (
@@ -181,12 +181,15 @@ def oracle_sql(rules=RULES, cfg: TrustConfig = TrustConfig()) -> str:
           WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN {host('t')}
           WHEN starts_with(t, '//') THEN {low("regexp_extract(t, '^//([^/?#]*)', 1)")}
           END AS dst FROM targets) WHERE dst <> '' AND dst <> src GROUP BY src, dst),
-    hosts AS MATERIALIZED (SELECT h.host, coalesce(p.good, 0) AS good, coalesce(p.bad, 0) AS bad
+    hosts AS MATERIALIZED (SELECT h.host, coalesce(p.good, 0) AS good, coalesce(p.bad, 0) AS bad, {UNIT}::BIGINT AS most
         FROM (SELECT dst AS host FROM links UNION SELECT host FROM per_host) h LEFT JOIN per_host p ON h.host = p.host),
     forward AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY src)::BIGINT AS total FROM links),
     back AS MATERIALIZED (SELECT dst AS src, src AS dst, n, sum(n) OVER (PARTITION BY dst)::BIGINT AS total FROM links),
     {", ".join(steps)}
     SELECT f.page_id, f.host, f.path, f.rule,
-      coalesce(f.ruled, CASE WHEN d.score > t.score AND d.score >= {cfg.threshold} THEN 'block' ELSE 'allow' END) AS verdict,
+      coalesce(f.ruled, CASE WHEN d.score > t.score AND d.score >= {cfg.threshold}
+          OR (md.linked > 0 AND 100 * d.linked / md.linked >= {cfg.linked_share} AND d.linked / md.linked > t.score / mt.score)
+          THEN 'block' ELSE 'allow' END) AS verdict,
       coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust
-    FROM found f LEFT JOIN t{n} t ON f.host = t.host LEFT JOIN d{n} d ON f.host = d.host"""
+    FROM found f LEFT JOIN t{n} t ON f.host = t.host LEFT JOIN d{n} d ON f.host = d.host
+      LEFT JOIN mt{n} mt ON f.host = mt.host LEFT JOIN md{n} md ON f.host = md.host"""

@@ -44,6 +44,10 @@ def matrix(column) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; divided by their largest component first, so that no square leaves the range of doubles."""
+    if not x.size:
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

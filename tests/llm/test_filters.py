@@ -297,8 +297,11 @@ def brute_trust(pages, cfg):
                 links[host(url), to] += 1
     hosts = {h for h in share} | {d for _, d in links}
     out = {}
-    for name, kind, edges in (("t", "allow", links), ("d", "block", Counter({(b, a): n for (a, b), n in links.items()}))):
+    back = Counter({(b, a): n for (a, b), n in links.items()})
+    for name, kind, edges in (("t", "allow", links), ("d", "block", back), ("mt", None, links), ("md", None, back)):
         seed = {h: sum(v == kind for v in share[h]) * link_trust.UNIT // len(share[h]) if share.get(h) else 0 for h in hosts}
+        if kind is None:
+            seed = dict.fromkeys(hosts, link_trust.UNIT)
         total, score = Counter(), dict(seed)
         for (a, _), n in edges.items():
             total[a] += n
@@ -307,10 +310,26 @@ def brute_trust(pages, cfg):
             for (a, b), n in edges.items():
                 got[b] += score[a] * n // total[a]
             score = {h: ((100 - cfg.damping) * seed[h] + cfg.damping * got[h]) // 100 for h in hosts}
-        out[name] = score
+        out[name], out["linked", name] = score, {h: cfg.damping * got[h] // 100 for h in hosts}
+    for h in hosts:
+        most = out["linked", "md"][h]
+        share_ = out["linked", "d"][h] / most if most else 0
+        linked = most and 100 * share_ >= cfg.linked_share and share_ > out["t"][h] / out["mt"][h]
+        guess = (out["d"][h] > out["t"][h] and out["d"][h] >= cfg.threshold) or linked
+        out["verdict", h] = "block" if guess else "allow"
     return out
 
 
+def by_trust_sql(pages, where=""):
+    """Verdicts of hosts by the SQL form."""
+    import duckdb
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    return {r[0]: r[1:] for r in db.execute(f"SELECT host, verdict, trust, distrust FROM ({link_trust.oracle_sql()}) {where}").fetchall()}
+
+
 def test_distrust_runs_against_links_and_trust_along(spark):
     link = lambda *t: "".join(f'<a HREF = "{x}">' for x in t)
     rows = [
@@ -326,6 +345,31 @@ def test_distrust_runs_against_links_and_trust_along(spark):
         assert (r["trust"], r["distrust"]) == (want["t"][h], want["d"][h])
     assert {h: r["verdict"] for h, r in got.items()} == {
         "bad.net": "block", "farm.com": "block", "friend.com": "block", "good.org": "allow", "liked.com": "allow", "alone.com": "allow"}
+    assert all(want["verdict", h] == r["verdict"] for h, r in got.items() if h not in ("bad.net", "good.org"))
+    assert {h: (r["verdict"], r["trust"], r["distrust"]) for h, r in got.items()} == by_trust_sql([r[:3] for r in rows])
+
+
+def test_hubs_do_not_overflow(spark):
+    """Scores times links leave the range of a long; the scores don't."""
+    from seqloom.llm.common import Scratch
+
+    seeds = spark.createDataFrame([("good", "hub", link_trust.UNIT), ("good", "far", 0)], "kind string, host string, seed long")
+    links = spark.createDataFrame([("good", "hub", "far", 3 * 10**17, 4 * 10**17)], "kind string, src string, dst string, n long, out long")
+    got = {r["host"]: r["score"] for r in link_trust.spread(seeds, links, Scratch(spark, "test"), link_trust.TrustConfig()).collect()}
+    assert got["far"] == 85 * (15 * link_trust.UNIT // 100 * 3 // 4) // 100
+
+
+def test_random_graphs_like_the_sql(spark):
+    r = random.Random(8)
+    hosts = [f"{x}{k}.{tld}" for k in range(12) for x, tld in (("b", "net"), ("c", "com"), ("g", "org"))]
+    rows = []
+    for k in range(300):
+        h = r.choice(hosts)
+        rows.append((k, f"http://{h}/{r.choice(['fr/', 'de/', ''])}p", "".join(f"<a href='http://{r.choice(hosts)}/'>" for _ in range(r.randrange(5)))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["host"]: (x["verdict"], x["trust"], x["distrust"]) for x in link_trust.judge(pages).where("rule is null").collect()}
+    assert len(set(got.values())) > 10 and {v for v, _, _ in got.values()} == {"allow", "block"}
+    assert got == by_trust_sql(rows, "WHERE rule IS NULL")
 
 
 def test_farms_of_any_size_are_blocked(spark):

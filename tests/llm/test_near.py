@@ -64,6 +64,13 @@ def test_vectors_against_brute_force(spark, cfg):
     assert vector_links(v.limit(0)).count() == 0
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.01e200]), (2, [1e-200, 1e-200]), (3, [1.0, 0.1]), (4, [1.0, 1.0]), (5, [1.7e308, 1.7e308]), (6, [5e-324, 0.0])]
+    v = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links(v).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 4: (4, 0), 5: (4, 0), 3: (1, 3), 6: (1, 3)}
+
+
 def sets_of(rows, k):
     out = {}
     for i, t in rows:
