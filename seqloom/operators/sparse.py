@@ -79,8 +79,8 @@ def global_cutoffs(cells: DataFrame, fraction: float) -> DataFrame:
 
 
 def filter_by_cutoff(cells: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells at or above the cutoff of their key."""
-    return cells.join(cutoffs.select(*keys, "cutoff"), keys).where(F.col("p") >= F.col("cutoff")).drop("cutoff")
+    """Cells at or above the cutoff of their key; all where it is null."""
+    return cells.join(cutoffs.select(*keys, "cutoff"), keys).where("cutoff is null or p >= cutoff").drop("cutoff")
 
 
 def keep_count(lengths: DataFrame, fill: float) -> DataFrame:
@@ -89,15 +89,99 @@ def keep_count(lengths: DataFrame, fill: float) -> DataFrame:
     return lengths.withColumn("keep", F.floor((F.col("len_a") * F.col("len_b") - least) * fill) + least)
 
 
+#: Lower borders of the exponents of values up to 1.
+EXPONENTS = [2.0**-k for k in range(64)]
+
+
+def first_at_most(value: Column, bounds: list[float]) -> Column:
+    """Place (from 0) of the first of the falling ``bounds`` that isn't above ``value``, their number if there is none."""
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    found = F.array_position(F.transform(arr, lambda c: value >= c), F.lit(True))
+    return F.when(found == 0, F.lit(len(bounds))).otherwise(found - 1).cast("int")
+
+
+def bucket_runs(cells: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:
+    """``(*keys, k, n, run)``: cells of each bucket of values, and those of it and all higher ones.
+
+    One aggregation with map-side combine; the window is over the buckets of a key."""
+    n = cells.groupBy(*keys, first_at_most(F.col("p"), bounds).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("run", F.sum("n").over(Window.partitionBy(*keys).orderBy("k")))
+
+
 def keep_largest(cells: DataFrame, counts: DataFrame) -> DataFrame:
     """The ``keep`` largest cells of every matrix; ties go to the first cell.
 
-    A matrix is bounded by the lengths of two sequences, so ranking inside one
-    is a small window however many pairs a family has.
+    A histogram over the exponents tells the bucket in which the last kept cell
+    lies: higher ones are kept whole, lower ones go, and only that bucket is ranked.
+    """
+    keys = ["family", "a", "b"]
+    runs = bucket_runs(cells, keys, EXPONENTS).join(counts.select(*keys, "keep"), keys)
+    place = runs.select(*keys, "k", (F.col("run") <= F.col("keep")).alias("_whole"), (F.col("keep") - F.col("run") + F.col("n")).alias("_rest"))
+    place = place.where("_whole or _rest > 0")
+    at = cells.withColumn("k", first_at_most(F.col("p"), EXPONENTS)).join(place, [*keys, "k"]).drop("k")
+    w = Window.partitionBy(*keys).orderBy(F.col("p").desc(), "i", "j")
+    ranked = at.where("not _whole").withColumn("_r", F.row_number().over(w)).where("_r <= _rest").drop("_r")
+    return at.where("_whole").unionByName(ranked).drop("_whole", "_rest")
+
+
+def bucket_cutoffs(cells: DataFrame, counts: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+    """``(family, a, b, kept, cutoff)``: a cutoff for at most ``keep`` cells of every matrix, found without ranking any.
+
+    It is the border of the last bucket up to which no more than ``keep`` cells lie. Where even the
+    highest bucket has more, or nothing is to go, all cells stay (cutoff 0).
+    """
+    bounds = bounds or EXPONENTS
+    keys = ["family", "a", "b"]
+    runs = bucket_runs(cells, keys, bounds).join(counts.select(*keys, "keep"), keys)
+    fits = F.col("run") <= F.col("keep")
+    found = runs.groupBy(*keys).agg(
+        F.max(F.when(fits, F.col("k"))).alias("_k"), F.max(F.when(fits, F.col("run"))).alias("_run"),
+        F.sum("n").alias("_n"), F.first("keep").alias("_keep"))
+    # a matrix that keeps all its cells needs no border
+    open_ = F.col("_k").isNull() | (F.col("_n") <= F.col("_keep")) | (F.col("_k") == len(bounds))
+    border = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("_k") + 1)
+    return found.select(*keys, F.when(open_, F.col("_n")).otherwise(F.col("_run")).alias("kept"),
+                        F.when(open_, F.lit(0.0)).otherwise(border).alias("cutoff"))
+
+
+def longest_row_cutoffs(
+    cells: DataFrame, fraction: float, most: int, lengths: DataFrame | None = None, start: float = 0.01
+) -> DataFrame:
+    """``(family, a, b, retain, cutoff)``: a cutoff that keeps about a fraction of a matrix and no row longer than ``most``.
+
+    The fraction is of its cells, or of all its places where ``lengths`` (``family, a, b, len_a, len_b``) are
+    given. A matrix with fewer cells than that stays whole (null cutoff) unless a row is too long; it then starts from the
+    last bound but one. From there bounds are raised until the longest row fits; where none does, the
+    highest is taken. Rows are counted bucket by bucket, so a row is never listed.
     """
-    w = Window.partitionBy("family", "a", "b").orderBy(F.col("p").desc(), "i", "j")
-    ranked = cells.withColumn("_k", F.row_number().over(w))
-    return ranked.join(counts.select("family", "a", "b", "keep"), ["family", "a", "b"]).where("_k <= keep").drop("_k", "keep")
+    keys = ["family", "a", "b"]
+    bounds = local_bounds(start)
+    strict = F.array(*[F.lit(float(b)) for b in bounds])
+    first = F.array_position(F.transform(strict, lambda c: F.col("p") > c), F.lit(True))
+    by_row = cells.groupBy(*keys, "i", F.when(first == 0, F.lit(len(bounds))).otherwise(first - 1).cast("int").alias("k"),
+                           first_at_most(F.col("p"), bounds).alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    # cells at or above bound q of a row; the first bound at which there are too many
+    in_row = by_row.groupBy(*keys, "i", "q").agg(F.sum("n").alias("n"))
+    run = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("q"))
+    rows = in_row.withColumn("_run", run).groupBy(*keys).agg(
+        F.min(F.when(F.col("_run") > most, F.col("q"))).alias("_over"), F.max("_run").alias("_longest"))
+    total = by_row.groupBy(*keys, "k").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys)
+    marked = total.withColumn("_all", F.sum("n").over(w)).withColumn("_run", F.sum("n").over(w.orderBy("k")))
+    if lengths is not None:
+        marked = marked.join(lengths.select(*keys, (F.col("len_a") * F.col("len_b")).alias("_of")), keys)
+    else:
+        marked = marked.withColumn("_of", F.col("_all"))
+    marked = marked.withColumn("_keep", F.floor(F.col("_of") * fraction))
+    found = marked.groupBy(*keys).agg(
+        F.max("_keep").alias("retain"), F.max("_all").alias("_all"), F.min(F.when(F.col("_run") > F.col("_keep"), F.col("k"))).alias("_k"))
+    few = F.col("_all") < F.col("retain")
+    k = F.when(few, F.lit(len(bounds) - 2)).otherwise(F.coalesce("_k", F.lit(0)))
+    # the last place of the bounds stands for all cells
+    fits = F.least(k, F.coalesce(F.col("_over") - 1, F.lit(len(bounds))))
+    value = F.get(strict, F.greatest(fits, F.lit(0)))
+    cutoff = F.when(few & (F.col("_longest") < most), F.lit(None).cast("double")).otherwise(F.coalesce(value, F.lit(0.0)))
+    return found.join(rows, keys).select(*keys, "retain", cutoff.alias("cutoff"))
 
 
 def column_reliability(columns: DataFrame, cells: DataFrame) -> DataFrame:

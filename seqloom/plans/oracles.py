@@ -163,6 +163,50 @@ cum AS (
 cutoffs AS (SELECT {keys}, min(k) FILTER (run > keep) AS hit, CAST(max(keep) AS BIGINT) AS retain FROM cum GROUP BY ALL)"""
 
 
+def longest_rows(most: int, fraction: float, dense: bool) -> str:
+    """Cutoffs with the rule of the longest row, step by step from the bound of the fraction up."""
+    bounds = local_bounds(0.01)
+    of = "max(u.n * v.n)" if dense else "count(*)"
+    values = ", ".join(f"({k}, {b!r}::DOUBLE)" for k, b in enumerate(bounds))
+    return f"""bounds(k, c) AS (VALUES {values}),
+sizes AS (
+  SELECT m.family, a, b, count(*) AS cells, CAST(floor({of} * {fraction!r}::DOUBLE) AS BIGINT) AS retain
+  FROM m JOIN lens u ON m.family = u.family AND m.a = u.x JOIN lens v ON m.family = v.family AND m.b = v.x GROUP BY m.family, a, b),
+per_bound AS (
+  SELECT s.family, s.a, s.b, k, c, any_value(cells) AS cells, any_value(retain) AS retain, count(*) FILTER (m.p > c) AS above
+  FROM sizes s JOIN m USING (family, a, b), bounds GROUP BY s.family, s.a, s.b, k, c),
+per_row AS (
+  SELECT family, a, b, k, max(n) AS longest FROM (
+    SELECT m.family, a, b, i, k, count(*) FILTER (p >= c) AS n FROM m, bounds GROUP BY m.family, a, b, i, k) GROUP BY family, a, b, k),
+whole_row AS (SELECT family, a, b, max(n) AS longest FROM (SELECT family, a, b, i, count(*) AS n FROM m GROUP BY family, a, b, i) GROUP BY family, a, b),
+starts AS (
+  SELECT family, a, b, any_value(retain) AS retain, any_value(cells) < any_value(retain) AS few,
+         CASE WHEN any_value(cells) < any_value(retain) THEN {len(bounds) - 2}
+              ELSE coalesce(min(k) FILTER (above > retain), CASE WHEN any_value(cells) > any_value(retain) THEN {len(bounds)} ELSE 0 END) END AS k0
+  FROM per_bound GROUP BY family, a, b),
+fitting AS (
+  SELECT s.family, s.a, s.b, any_value(retain) AS retain, bool_or(few) AS few, any_value(w.longest) AS longest, any_value(k0) AS k0,
+         max(r.k) FILTER (r.k <= k0 AND r.longest <= {most}) AS k, max(w.longest) <= {most} AS all_fit
+  FROM starts s JOIN whole_row w USING (family, a, b) JOIN per_row r USING (family, a, b) GROUP BY s.family, s.a, s.b),
+cutoffs AS (
+  SELECT f.family, f.a, f.b, retain, CASE WHEN few AND longest < {most} THEN NULL WHEN k0 = {len(bounds)} AND all_fit THEN 0.0::DOUBLE ELSE c END AS cutoff
+  FROM fitting f JOIN bounds ON bounds.k = coalesce(f.k, 0))"""
+
+
+def bucket_count(fraction: float) -> str:
+    return f"""keeps AS (
+  SELECT m.family, a, b, count(*) AS cells, CAST(floor((max(u.n * v.n) - min(least(u.n, v.n))) * {fraction!r}::DOUBLE) + min(least(u.n, v.n)) AS BIGINT) AS keep
+  FROM m JOIN lens u ON m.family = u.family AND m.a = u.x JOIN lens v ON m.family = v.family AND m.b = v.x GROUP BY m.family, a, b),
+borders AS (SELECT k, pow(2.0::DOUBLE, -k) AS c FROM unnest(range(64)) t(k)),
+counted AS (
+  SELECT n.family, n.a, n.b, c, count(*) FILTER (p >= c) AS above, any_value(keep) AS keep, any_value(cells) AS cells
+  FROM keeps n JOIN m USING (family, a, b), borders GROUP BY n.family, n.a, n.b, c),
+-- of borders with the same cells above them the highest stands behind a bucket that has cells
+cutoffs AS (
+  SELECT family, a, b, CASE WHEN any_value(cells) <= any_value(keep) THEN 0.0::DOUBLE
+    ELSE coalesce(min(c) FILTER (above > 0 AND above <= keep), 0.0::DOUBLE) END AS cutoff FROM counted GROUP BY family, a, b)"""
+
+
 STRATEGY = """stats AS (
   SELECT family, max(n) AS n, count(*) AS len, sum(pair_sum)::DOUBLE / count(*) / (max(n) * (max(n) - 1) / 2) AS un_sp
   FROM scores GROUP BY family),
@@ -458,6 +502,11 @@ ranked AS (
          floor((u.n * v.n - least(u.n, v.n)) * 0.0001::DOUBLE) + least(u.n, v.n) AS keep
   FROM m JOIN lens u ON m.family = u.family AND m.a = u.x JOIN lens v ON m.family = v.family AND m.b = v.x)""", body="""
 SELECT family, a, b, i, j, round(p, 9) AS p FROM ranked WHERE k <= keep"""),
+    "bucket_count_filter": with_(WORDS, bucket_count(0.0001), body="""
+SELECT family, a, b, i, j, round(p, 9) AS p FROM m JOIN cutoffs USING (family, a, b) WHERE p >= cutoff"""),
+    "longest_row_cutoff": with_(WORDS, longest_rows(2, 0.3, False), body="SELECT family, a, b, retain, round(cutoff, 6) AS cutoff FROM cutoffs"),
+    "dense_share_filter": with_(WORDS, longest_rows(3, 0.02, True), body="""
+SELECT family, a, b, i, j, round(p, 9) AS p FROM m JOIN cutoffs USING (family, a, b) WHERE cutoff IS NULL OR p >= cutoff"""),
     "gap_expand": with_(CONV, PADDED, body="SELECT family, header, seq FROM pad"),
     "row_split": with_(CONV, counted("conv"), f"""
 gaps AS (

@@ -439,17 +439,42 @@ def annotation_text(spark, sf):
     return K.annotation(S.column_reliability(cols, word_matches(spark, sf)))
 
 
-@query
-def count_cutoff(spark, sf):
-    n = word_lengths(spark, sf).where("len > 0")
+def _match_lengths(spark, sf, cells):
+    n = word_lengths(spark, sf)
     a = n.select("family", F.col("idx").alias("a"), F.col("len").alias("len_a"))
     b = n.select("family", F.col("idx").alias("b"), F.col("len").alias("len_b"))
+    return cells.select("family", "a", "b").distinct().join(a, ["family", "a"]).join(b, ["family", "b"])
+
+
+@query
+def count_cutoff(spark, sf):
     cells = word_matches(spark, sf)
-    lengths = cells.select("family", "a", "b").distinct().join(a, ["family", "a"]).join(b, ["family", "b"])
-    kept = S.keep_largest(cells, S.keep_count(lengths, 0.0001))
+    kept = S.keep_largest(cells, S.keep_count(_match_lengths(spark, sf, cells), 0.0001))
     return _long(kept, "a", "b", "i", "j").withColumn("p", F.round("p", 9))
 
 
+@query
+def bucket_count_filter(spark, sf):
+    """Cells of every matrix above the exponent at which no more than the wanted number lie."""
+    cells = _matches(spark, sf)
+    c = S.bucket_cutoffs(cells, S.keep_count(_match_lengths(spark, sf, cells), 0.0001))
+    return _long(S.filter_by_cutoff(cells, c, ["family", "a", "b"]), "a", "b", "i", "j").withColumn("p", F.round("p", 9))
+
+
+@query
+def longest_row_cutoff(spark, sf):
+    c = S.longest_row_cutoffs(word_matches(spark, sf), 0.3, 2)
+    return _long(c, "a", "b", "retain").withColumn("cutoff", F.round("cutoff", 6))
+
+
+@query
+def dense_share_filter(spark, sf):
+    """Cells kept for a share of all places of a matrix and at most three in a row."""
+    cells = _matches(spark, sf)
+    c = S.longest_row_cutoffs(cells, 0.02, 3, _match_lengths(spark, sf, cells))
+    return _long(S.filter_by_cutoff(cells, c, ["family", "a", "b"]), "a", "b", "i", "j").withColumn("p", F.round("p", 9))
+
+
 def _conv_state(spark, sf):
     """Aligned turns in row form: the column of every letter."""
     rows = conversation_rows(spark, sf)
