@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import materialize
+
 BLOCK = 4096
 
 
@@ -67,53 +69,29 @@ def running_max(df: DataFrame, keys: list[str], pos: str, value: str, out: str,
         out, F.greatest(F.max(value).over(wb), F.coalesce("_before", F.col(value)))).drop("_blk", "_before")
 
 
-def order_bins(x: Column, per_octave: int = 64, parts: int = 1 << 20) -> tuple[Column, Column]:
-    """Integer bin and bin within the bin; together they never decrease with
-    ``x``, and they depend on ``x`` alone."""
-    place = F.log2(F.abs(x)) * per_octave
-    whole = F.floor(place)
-    sign = F.signum(x).cast("long")
-    coarse = F.when(x == 0, F.lit(0)).otherwise(sign * (whole + F.lit(per_octave * 1100))).cast("long")
-    fine = F.when(x == 0, F.lit(0)).otherwise(sign * F.floor((place - whole) * parts)).cast("long")
-    return coarse, fine
-
-
-def stable_rank(
-    df: DataFrame, keys: list[str], value: str, tie: str, out: str = "rank", block: int = BLOCK
-) -> DataFrame:
-    """0-based rank by ``(value, tie)`` within ``keys``; ``tie`` is a unique integer.
+def stable_rank(df: DataFrame, keys: list[str], value: str, tie: str, out: str = "rank") -> DataFrame:
+    """0-based rank by ``(value, tie)`` within ``keys``; ``tie`` is a unique integer. Nulls come first, a null key is a key.
 
-    Counts per value bin, per bin within the bin, per value and per block of
-    ties give the offset of every block; rows are only numbered inside a block.
-    A narrow range of values falls into many inner bins, and equal values of any
-    number are split by ``tie``, so no task sees a whole key.
+    One range exchange sorts all keys together, so a hot key or any number of equal
+    values spreads over many partitions. Places within a partition need no window; only a row per
+    partition and key is left to add up.
     """
     v = F.col(value).cast("double")
-    b = df.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v))
-    coarse, inner = order_bins(F.col("_v"))
-    b = b.withColumn("_bin", coarse).withColumn("_sub", inner).withColumn("_tb", F.floor(F.col(tie) / block).cast("long"))
-    fine = b.groupBy(*keys, "_bin", "_sub", "_v", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    by_value = fine.groupBy(*keys, "_bin", "_sub", "_v").agg(F.sum("_n").alias("_nv"))
-    by_sub = by_value.groupBy(*keys, "_bin", "_sub").agg(F.sum("_nv").alias("_ns"))
-    by_bin = by_sub.groupBy(*keys, "_bin").agg(F.sum("_ns").alias("_nb"))
-
-    def before(d, part, order, n, name):
-        w = Window.partitionBy(*part).orderBy(order)
-        return d.withColumn(name, F.sum(n).over(w) - F.col(n)).drop(n)
-
-    offsets = (
-        before(fine, [*keys, "_bin", "_sub", "_v"], "_tb", "_n", "_o1")
-        .join(before(by_value, [*keys, "_bin", "_sub"], "_v", "_nv", "_o2"), [*keys, "_bin", "_sub", "_v"])
-        .join(before(by_sub, [*keys, "_bin"], "_sub", "_ns", "_o3"), [*keys, "_bin", "_sub"])
-        .join(before(by_bin, keys, "_bin", "_nb", "_o4"), [*keys, "_bin"])
-        .select(*keys, "_v", "_tb", (F.col("_o1") + F.col("_o2") + F.col("_o3") + F.col("_o4")).alias("_off"))
-    )
-    w = Window.partitionBy(*keys, "_v", "_tb").orderBy(tie)
-    return (
-        b.join(offsets, [*keys, "_v", "_tb"])
-        .withColumn(out, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-        .drop("_v", "_bin", "_sub", "_tb", "_off")
-    )
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, "_v", tie]
+    # zeros of both signs are equal
+    rows = df.withColumn("_v", F.when(v == 0, F.lit(0.0)).otherwise(v)).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()).drop("_v"), "ranked")
+    part = F.shiftright("_at", 33)
+    runs = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], part.alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_p")) - F.col("_n")
+    runs = runs.withColumn("_move", earlier - F.col("_first")).drop("_n", "_first")
+    same = part == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(runs, same).withColumn(out, (F.col("_at") + F.col("_move")).cast("long")).drop(
+        "_at", "_p", "_move", *[f"_k{i}" for i in range(len(keys))])
 
 
 def max_normalise(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -452,6 +452,14 @@ SELECT lin.family, 'CLUSTAL multiple sequence alignment' || chr(10)
        || string_agg(chr(10) || lin.t || repeat(' ', w) || mk.t || chr(10), '' ORDER BY lin.b) AS text
 FROM lin JOIN mk ON lin.family = mk.family AND lin.b = mk.b JOIN wid ON wid.family = lin.family GROUP BY lin.family"""),
     "block_parse": with_(CONV, PADDED, body="SELECT family, idx, header, seq FROM pad"),
+    "family_files": """
+SELECT role AS bench, CAST(conv_id AS VARCHAR) AS family, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) - 1 AS idx,
+       role || '_' || lpad(CAST(turn AS VARCHAR), 6, '0') AS header, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS seq FROM conversations""",
+    "family_files_of_a_bench": """
+SELECT CAST(conv_id AS VARCHAR) AS family, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS letters
+FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    "clustal_files": with_(CONV, PADDED, body="SELECT family, idx, header, seq FROM pad"),
+    "sniffed_parse": with_(CONV, PADDED, body="SELECT family, idx, header, replace(seq, '-', '') AS seq FROM pad"),
     "feature_line": """
 SELECT c_custkey, CASE WHEN ok THEN c_acctbal ELSE 0 END AS avg_pid, CASE WHEN ok THEN c_nationkey::DOUBLE ELSE 0 END AS sd_pid,
        CASE WHEN ok THEN c_custkey::DOUBLE ELSE 0 END AS f2, CASE WHEN ok THEN c_acctbal ELSE 0 END AS f3,

@@ -24,8 +24,9 @@ from seqloom.operators import trees as T
 from seqloom.operators import windows as W
 from seqloom.plans import classify as M
 from seqloom.plans import pipeline as PL
-from seqloom.session import materialize
+from seqloom.session import checkpoint_root, materialize
 from seqloom.sources import fasta as FA
+from seqloom.sources import files as FS
 from seqloom.sources import newick as NW
 from seqloom.sources import sinks as K
 from seqloom.sources import tables as TB
@@ -345,6 +346,54 @@ def block_parse(spark, sf):
     return _long(FA.parse_any(text), "idx")
 
 
+def _files(spark):
+    import uuid
+
+    return f"{checkpoint_root(spark)}/seqloom/files-{uuid.uuid4().hex}"
+
+
+def _turn_files(spark, sf):
+    """Turns as FASTA files, one per conversation in a folder per role."""
+    rows = conversation_rows(spark, sf).withColumn("bench", F.regexp_extract("header", "^(.*)_", 1))
+    root = _files(spark)
+    FS.write_families(FS.fasta_pieces(rows), root, ["idx"])
+    return root
+
+
+@query
+def family_files(spark, sf):
+    """Turns written to files and read again, with their place in the file."""
+    return _long(FS.read_families(spark, _turn_files(spark, sf)), "idx")
+
+
+@query
+def family_files_of_a_bench(spark, sf):
+    """Records and letters of the files in one folder; the others are not listed."""
+    one = FS.read_families(spark, _turn_files(spark, sf)).where("bench = 'user'")
+    return one.groupBy("family").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("seq")).alias("letters"))
+
+
+@query
+def clustal_files(spark, sf):
+    """Alignments written line by line to CLUSTAL files, found by a listing, and parsed by their first character."""
+    rows = _padded(spark, sf)
+    lines = K.clustal_lines(rows, C.conservation_symbol(C.column_table(rows)))
+    root = _files(spark)
+    FS.write_families(lines.withColumn("bench", F.lit("clustal")), root, K.LINE_ORDER)
+    return _long(FA.parse_any(FA.read_texts(FA.list_families(spark, root), root).drop("bench")), "idx")
+
+
+@query
+def sniffed_parse(spark, sf):
+    """Families of an even number of rows as FASTA, the others as CLUSTAL, told apart by their first character."""
+    rows = _padded(spark, sf)
+    even = rows.groupBy("family").agg((F.count(F.lit(1)) % 2 == 0).alias("_even"))
+    rows = rows.join(even, "family")
+    odd = rows.where("not _even").drop("_even")
+    texts = K.fasta(rows.where("_even")).unionByName(K.clustal(odd, C.conservation_symbol(C.column_table(odd))))
+    return _long(FA.parse_any(texts, strip_gaps=True), "idx")
+
+
 @query
 def feature_line(spark, sf):
     c = load(spark, sf, "customer")

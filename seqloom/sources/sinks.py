@@ -1,8 +1,8 @@
 """Text renderings of aligned families, and their writers.
 
-A rendering is one string per family, because the format is one file per
-family. ``fasta_chunks`` gives the same text cut into one piece per record,
-for families whose text would not fit one row.
+``fasta_chunks``, ``clustal_lines`` and ``phylip_lines`` give a text in pieces with their order,
+for families of any size; ``sources.files`` writes them, one file per family. ``fasta``,
+``clustal`` and ``phylip`` put the pieces of a family together in one row, which has to hold them.
 """
 
 from __future__ import annotations
@@ -44,8 +44,21 @@ def text_hash(texts: DataFrame) -> DataFrame:
     return texts.select("family", F.md5("text").alias("digest"))
 
 
+LINE_ORDER = ["block", "kind", "row"]
+
+
+def _whole(lines: DataFrame) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "piece")))
+    return lines.groupBy("family").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
+
+
 def clustal(rows: DataFrame, symbols: DataFrame, title: str = "CLUSTAL multiple sequence alignment", width: int = 60) -> DataFrame:
-    """CLUSTALW text: blocks of ``width`` columns, names padded to the longest
+    """CLUSTALW text of each family in one row."""
+    return _whole(clustal_lines(rows, symbols, title, width))
+
+
+def clustal_lines(rows: DataFrame, symbols: DataFrame, title: str = "CLUSTAL multiple sequence alignment", width: int = 60) -> DataFrame:
+    """CLUSTALW text in lines ``(family, *LINE_ORDER, piece)``: blocks of ``width`` columns, names padded to the longest
     plus four, and a line of conservation marks below each block."""
     from seqloom.functions.residues import name_token
 
@@ -74,14 +87,18 @@ def clustal(rows: DataFrame, symbols: DataFrame, title: str = "CLUSTAL multiple
     heads = shape.withColumn("_b", F.explode(blocks)).select(
         "family", "_b", F.lit(-1).alias("_k"), F.lit(0).cast("long").alias("_o"), F.lit("\n").alias("_line")
     )
-    every = lines.unionByName(marks).unionByName(heads)
-    parts = F.array_sort(F.collect_list(F.struct("_b", "_k", "_o", "_line")))
-    body = F.array_join(F.transform(parts, lambda p: p["_line"]), "")
-    return every.groupBy("family").agg(F.concat(F.lit(title + "\n"), body).alias("text"))
+    top = shape.select("family", F.lit(-1).alias("_b"), F.lit(-1).alias("_k"), F.lit(0).cast("long").alias("_o"), F.lit(title + "\n").alias("_line"))
+    every = lines.unionByName(marks).unionByName(heads).unionByName(top)
+    return every.toDF("family", *LINE_ORDER, "piece")
 
 
 def phylip(rows: DataFrame) -> DataFrame:
-    """PHYLIP text: counts, then blocks of five groups of ten columns with the
+    """PHYLIP text of each family in one row."""
+    return _whole(phylip_lines(rows))
+
+
+def phylip_lines(rows: DataFrame) -> DataFrame:
+    """PHYLIP text in lines ``(family, *LINE_ORDER, piece)``: counts, then blocks of five groups of ten columns with the
     ten-character header in the first block only."""
     tens = lambda s: F.regexp_replace(s, "(.{1,10})", " $1")
     shape = rows.groupBy("family").agg(
@@ -92,18 +109,14 @@ def phylip(rows: DataFrame) -> DataFrame:
         rows.join(shape, "family").withColumn("_b", F.explode(blocks))
         .withColumn("_t", tens(F.substring("seq", F.col("_b") * 50 + 1, F.lit(50))))
         .withColumn("_h", F.when(F.col("_b") == 0, F.rpad(F.substring("header", 1, 10), 10, " ")).otherwise(F.lit(" " * 10)))
-        .select("family", "_n", "_len", "_b", F.lit(0).alias("_k"), F.col("idx").cast("long").alias("_o"),
-                F.concat("_h", "_t", F.lit("\n")).alias("_line"))
+        .select("family", "_b", F.lit(0).alias("_k"), F.col("idx").cast("long").alias("_o"), F.concat("_h", "_t", F.lit("\n")).alias("_line"))
     )
     ends = shape.withColumn("_b", F.explode(blocks)).select(
-        "family", "_n", "_len", "_b", F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_o"), F.lit("\n").alias("_line")
-    )
-    parts = F.array_sort(F.collect_list(F.struct("_b", "_k", "_o", "_line")))
-    body = F.array_join(F.transform(parts, lambda p: p["_line"]), "")
-    return lines.unionByName(ends).groupBy("family", "_n", "_len").agg(body.alias("_body")).select(
-        "family",
-        F.concat(F.col("_n").cast("string"), F.lit("\n"), F.col("_len").cast("string"), F.lit("\n"), "_body").alias("text"),
+        "family", "_b", F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_o"), F.lit("\n").alias("_line")
     )
+    counts = F.concat(F.col("_n").cast("string"), F.lit("\n"), F.col("_len").cast("string"), F.lit("\n"))
+    top = shape.select("family", F.lit(-1).alias("_b"), F.lit(-1).alias("_k"), F.lit(0).cast("long").alias("_o"), counts.alias("_line"))
+    return lines.unionByName(ends).unionByName(top).toDF("family", *LINE_ORDER, "piece")
 
 
 def annotation(scores: DataFrame) -> DataFrame:
