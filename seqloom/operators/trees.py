@@ -78,10 +78,11 @@ def chained_tree(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, members
 
 
-def build_trees(distances: DataFrame, linkage: str = "upgma"):
+def build_trees(distances: DataFrame, linkage: str = "upgma", seqs: DataFrame | None = None):
     """Trees of all families from ``(family, a, b, d)`` with ``a < b``.
 
-    Returns ``(nodes, members)``: ``nodes`` has one row per node with its
+    ``seqs`` has ``(family, idx)`` of all sequences; the only one of a family is a tree of its own. Empty tables
+    give empty trees. Returns ``(nodes, members)``: ``nodes`` has one row per node with its
     children, parent, branch length to the parent, leaf count, height and level;
     ``members`` lists the leaves below every inner node and their side.
     """
@@ -92,8 +93,10 @@ def build_trees(distances: DataFrame, linkage: str = "upgma"):
         "family", F.col("a").cast("int"), F.col("b").cast("int"), F.col("d").cast("double"), leaf.alias("ca"), leaf.alias("cb")
     )
     state = materialize(state, "tree-distances")
-    where = state.select("family", F.explode(F.array("a", "b")).alias("leaf")).distinct().withColumn("label", F.col("leaf"))
-    where = materialize(where, "tree-leaves")
+    found = state.select("family", F.explode(F.array("a", "b")).alias("leaf"))
+    if seqs is not None:
+        found = found.unionByName(seqs.select("family", F.col("idx").cast("int").alias("leaf")))
+    where = materialize(found.distinct().withColumn("label", F.col("leaf")), "tree-leaves")
     leaves = where.select("family", "leaf")
     merges, members, rounds = [], [], 0
     while not state.isEmpty():
@@ -112,7 +115,8 @@ def build_trees(distances: DataFrame, linkage: str = "upgma"):
         members.append(where.where("side is not null").select("family", "leaf", "side", "label", "size"))
         state = materialize(_merge_state(state, moves, linkage), "tree-distances")
     if not merges:
-        raise ValueError("no pairs of sequences to build trees from")
+        merges = [_mutual_nearest(state)]
+        members = [leaves.limit(0).selectExpr("family", "leaf", "'L' as side", "leaf as label", "1L as size")]
     return _finish(reduce(DataFrame.unionByName, merges), reduce(DataFrame.unionByName, members), leaves, linkage)
 
 

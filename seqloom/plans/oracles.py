@@ -88,9 +88,9 @@ tok AS (SELECT family, x, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FR
 m AS (
   SELECT l.family, l.x AS a, r.x AS b, l.p AS i, r.p AS j, 1.0::DOUBLE / (1 + abs(l.p - r.p)) AS p
   FROM tok l JOIN tok r ON l.family = r.family AND l.w = r.w AND l.x < r.x),
-lens AS (SELECT family, x, len(ws) AS n FROM words WHERE len(ws) > 0),
+lens AS (SELECT family, x, len(ws) AS n FROM words),
 dist AS (
-  SELECT u.family, u.x AS a, v.x AS b, 1.0::DOUBLE - coalesce(k, 0)::DOUBLE / (u.n * v.n) AS d
+  SELECT u.family, u.x AS a, v.x AS b, 1.0::DOUBLE - coalesce(k, 0)::DOUBLE / greatest(u.n * v.n, 1) AS d
   FROM lens u JOIN lens v ON u.family = v.family AND u.x < v.x
   LEFT JOIN (SELECT family, a, b, count(*) AS k FROM m GROUP BY family, a, b) h
     ON h.family = u.family AND h.a = u.x AND h.b = v.x)"""
@@ -260,7 +260,7 @@ linked AS (
   LEFT JOIN inner_nodes l ON l.family = m.family AND l.hi = m.lo AND l.leaves = m.n_lo),
 every_node AS (
   SELECT family, node, {left}_node AS "left", {right}_node AS "right", leaves, height, level FROM linked
-  UNION ALL SELECT DISTINCT family, x, NULL, NULL, 1, 0.0::DOUBLE, 0 FROM (SELECT family, a AS x FROM {dist} UNION SELECT family, b FROM {dist})),
+  UNION ALL SELECT family, x, NULL, NULL, 1, 0.0::DOUBLE, 0 FROM lens),
 nodes AS (
   SELECT n.family, n.node, n."left", n."right", p.node AS parent, coalesce(p.height * 0.5::DOUBLE, 0) AS dist, n.leaves, n.height, n.level
   FROM every_node n LEFT JOIN every_node p ON p.family = n.family AND n.node IN (p."left", p."right"))"""
@@ -289,7 +289,7 @@ LEAF_PAIRS = """met AS (
 PLACES = """places AS (
   SELECT m.family, m.leaf, CAST(sum(CASE WHEN m.side = 'R' THEN l.leaves ELSE 0 END) AS BIGINT) AS place, count(*) AS depth
   FROM members m JOIN nodes n ON n.family = m.family AND n.node = m.node JOIN nodes l ON l.family = n.family AND l.node = n."left"
-  GROUP BY m.family, m.leaf)"""
+  GROUP BY m.family, m.leaf UNION ALL SELECT family, node, 0, 0 FROM nodes WHERE level = 0 AND parent IS NULL)"""
 CHAIN = """turns AS (
   SELECT family, x, n, row_number() OVER (PARTITION BY family ORDER BY substr(md5(CAST(x AS VARCHAR)), 1, 13), x) - 1 AS q,
          count(*) OVER (PARTITION BY family) AS k FROM lens),

@@ -589,13 +589,13 @@ def classifier_features(spark, sf):
 
 
 def _word_distances(spark, sf):
-    """Distance of two turns: one minus the share of word pairs that match."""
-    n = word_lengths(spark, sf).where("len > 0")
+    """Distance of two turns: one minus the share of word pairs that match; a turn without words matches none."""
+    n = word_lengths(spark, sf)
     hits = word_matches(spark, sf).groupBy("family", "a", "b").agg(F.count(F.lit(1)).alias("k"))
     a = n.select("family", F.col("idx").alias("a"), F.col("len").alias("la"))
     b = n.select("family", F.col("idx").alias("b"), F.col("len").alias("lb"))
     return a.join(b, "family").where("a < b").join(hits, ["family", "a", "b"], "left").select(
-        "family", "a", "b", (F.lit(1.0) - F.coalesce("k", F.lit(0)) / (F.col("la") * F.col("lb"))).alias("d")
+        "family", "a", "b", (F.lit(1.0) - F.coalesce("k", F.lit(0)) / F.greatest(F.col("la") * F.col("lb"), F.lit(1))).alias("d")
     )
 
 
@@ -731,7 +731,7 @@ def stats_merge(spark, sf):
 
 
 def _trees(spark, sf, linkage="upgma"):
-    return T.build_trees(_word_distances(spark, sf), linkage)
+    return T.build_trees(_word_distances(spark, sf), linkage, word_lengths(spark, sf))
 
 
 def _nodes(nodes: DataFrame) -> DataFrame:
@@ -760,7 +760,7 @@ def single_linkage_tree(spark, sf):
 
 @query
 def chained_tree(spark, sf):
-    return _nodes(T.chained_tree(word_lengths(spark, sf).where("len > 0"))[0])
+    return _nodes(T.chained_tree(word_lengths(spark, sf))[0])
 
 
 @query
@@ -838,7 +838,10 @@ def _word_state(spark, sf):
     n = word_lengths(spark, sf).where("len > 0")
     seqs = materialize(n.select("family", "idx", F.expr("repeat('W', cast(len as int))").alias("seq")), "word-seqs")
     packed = materialize(P.pack(word_matches(spark, sf).withColumn("p", F.col("p").cast("float"))), "word-packed")
-    nodes, members = T.build_trees(_word_distances(spark, sf))
+    # sequences without words are no part of an alignment's tree; they become rows of gaps
+    some = lambda c: n.select("family", F.col("idx").alias(c))
+    pairs = _word_distances(spark, sf).join(some("a"), ["family", "a"], "left_semi").join(some("b"), ["family", "b"], "left_semi")
+    nodes, members = T.build_trees(pairs)
     nodes, members = materialize(nodes, "nodes"), materialize(members, "members")
     weights = materialize(T.normalise_weights(T.path_weights(nodes, members), floor=1e-6), "weights")
     return seqs, packed, nodes, members, weights
