@@ -312,6 +312,33 @@ third AS (
   FROM own o JOIN weights w ON w.family = o.family LEFT JOIN ok k ON k.family = o.family AND k.a = o.a AND k.b = o.b AND k.z = w.leaf)"""
 
 
+def third_by_chance(name: str, s: float = 0.4) -> str:
+    """Third sequences accepted by random numbers, for families of at most 64 sequences."""
+    level = {
+        "lowpass": f"{(2 * s) ** 0.5!r}::DOUBLE - x", "highpass": f"x + {(2 * s) ** 0.5 - 1!r}::DOUBLE",
+        "midpass": f"least({4 * s!r}::DOUBLE * x, {4 * s!r}::DOUBLE - {4 * s!r}::DOUBLE * x)", "homograph": f"(1 - x) / ({s!r}::DOUBLE * x + 1)",
+    }[name]
+    scale = {"lowpass": -1.0, "highpass": 1.0, "midpass": 4 * s, "homograph": 1.0}[name]
+    seeds = [g % K.LCG_MODULUS for g in twister_stream(64 * 64) if g // K.LCG_MODULUS < (2**32 - 1) // K.LCG_MODULUS]
+    powers = [pow(K.LCG_MULTIPLIER, k, K.LCG_MODULUS) for k in range(1, 65)]
+    listed = lambda xs: "[" + ", ".join(map(str, xs)) + "]"
+    return f"""drawn AS (SELECT {listed(seeds)} AS seeds, {listed(powers)} AS powers),
+near AS (SELECT family, a, b, d FROM dist UNION ALL SELECT family, b, a, d FROM dist),
+tries AS (
+  SELECT m.family, m.a, m.b, x.b AS z, greatest(x.d, y.d) AS x, row_number() OVER (PARTITION BY m.family, m.a, m.b ORDER BY x.b) AS k, sz.n
+  FROM dist m JOIN near x ON x.family = m.family AND x.a = m.a AND x.b <> m.b JOIN near y ON y.family = m.family AND y.a = m.b AND y.b = x.b
+  JOIN (SELECT family, count(*) AS n FROM weights GROUP BY family) sz ON sz.family = m.family),
+ok AS (SELECT family, a, b, z FROM tries, drawn WHERE CAST(seeds[a * n + b + 1] AS BIGINT) * powers[k] % {K.LCG_MODULUS} * {K.LCG_INVERSE!r}::DOUBLE < {level}),
+own AS (
+  SELECT m.family, m.a, m.b, (1 + 2.0::DOUBLE * (SELECT count(*) FROM ok WHERE ok.family = m.family AND ok.a = m.a AND ok.b = m.b) / {scale!r}::DOUBLE)
+         * (u.weight + v.weight) AS w
+  FROM dist m JOIN weights u ON u.family = m.family AND u.leaf = m.a JOIN weights v ON v.family = m.family AND v.leaf = m.b),
+third AS (
+  SELECT o.family, o.a, o.b, w.leaf AS z, CASE WHEN k.z IS NULL THEN 0 ELSE w.weight / o.w END AS zw,
+         1 + sum(CASE WHEN k.z IS NULL THEN 0 ELSE w.weight / o.w END) OVER (PARTITION BY o.family, o.a, o.b) AS sum_w
+  FROM own o JOIN weights w ON w.family = o.family LEFT JOIN ok k ON k.family = o.family AND k.a = o.a AND k.b = o.b AND k.z = w.leaf)"""
+
+
 def relaxed(source: str, out: str, cutoff: float) -> str:
     """One consistency pass over single-precision cells."""
     return f"""both_{out} AS (SELECT family, a, b, i, j, p FROM {source} UNION ALL SELECT family, b, a, j, i, p FROM {source}),
@@ -615,6 +642,8 @@ SELECT family, 't' || leaf AS name, round(w, 9) AS w, round(weight, 9) AS weight
 SELECT family, count(*) AS nodes, count(*) FILTER (level = 0) AS leaves, round(sum(dist), 6) AS length FROM nodes GROUP BY family"""),
     "third_weights": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, LEAF_PAIRS, THIRD, body="""
 SELECT family, a, b, z, round(zw, 6) AS zw, round(sum_w, 6) AS sum_w FROM third"""),
+    **{f"third_weights_{name}": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS, third_by_chance(name), body="""
+SELECT family, a, b, z, round(zw, 6) AS zw, round(sum_w, 6) AS sum_w FROM third""") for name in ("lowpass", "highpass", "midpass", "homograph")},
     "consistency_blocks": with_(WORDS, tree("upgma"), MEMBERS, TREE_WEIGHTS.replace(
         "ELSE w / sum(w) OVER f END AS weight", "ELSE greatest(w / sum(w) OVER f, 1e-6) END AS weight"), LEAF_PAIRS, THIRD,
         "start AS (SELECT family, a, b, i, j, CAST(p AS FLOAT) AS p FROM m)", relaxed("start", "once", 0.01), relaxed("once", "twice", 1e-5), body="""

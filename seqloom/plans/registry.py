@@ -833,6 +833,38 @@ def third_weights(spark, sf):
     return _long(t, "a", "b", "z")
 
 
+def _random_third_weights(spark, sf, name):
+    """Weights of third sequences accepted by chance, the more likely the nearer (or farther) they are."""
+    tour = _tour(spark, sf)
+    sel = TO.leaf_pairs(tour).join(_word_distances(spark, sf).select("family", "a", "b", "d"), ["family", "a", "b"]).select(
+        "family", "a", "b", F.col("d").alias("sel"))
+    weights = T.normalise_weights(TO.path_weights(tour))
+    t = CO.third_weights(sel, weights, AlignerConfig(selectivity_filter=name, selectivity=0.4))
+    t = t.select("family", "a", "b", "sum_w", F.explode(F.arrays_zip("zs", "zw")).alias("z"))
+    t = t.select("family", "a", "b", F.col("z.zs").alias("z"), F.round("z.zw", 6).alias("zw"), F.round("sum_w", 6).alias("sum_w"))
+    return _long(t, "a", "b", "z")
+
+
+@query
+def third_weights_lowpass(spark, sf):
+    return _random_third_weights(spark, sf, "lowpass")
+
+
+@query
+def third_weights_highpass(spark, sf):
+    return _random_third_weights(spark, sf, "highpass")
+
+
+@query
+def third_weights_midpass(spark, sf):
+    return _random_third_weights(spark, sf, "midpass")
+
+
+@query
+def third_weights_homograph(spark, sf):
+    return _random_third_weights(spark, sf, "homograph")
+
+
 def _word_state(spark, sf):
     """Turns as word sequences, packed matches, trees and weights."""
     n = word_lengths(spark, sf).where("len > 0")
