@@ -1,7 +1,9 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -70,18 +72,26 @@ def test_cutoffs_are_the_lowest_certified_ones(spark):
     labels = spark.createDataFrame(good, "doc_id long, quality int, toxic int")
     slim = risk_rules.with_counts(docs.withColumn("_stratum", risk_rules.stratum()))
     got = {x["_stratum"]: x for x in risk_rules.cutoffs(slim, labels, cfg).collect()}
-    level = cfg.delta / (2 * len(risk_rules.RULES) * len(cfg.grid))
+    # the fixed sequence, step by step: tuning documents give the order, held-out ones of a language the end
+    counts = dict(zip(risk_rules.FIELDS, risk_rules.measure([t for _, t, _ in rows])))
+    names = list(risk_rules.RULES)
+    shares = [[counts[num][k] / max(1, counts[den][k]) for num, den in risk_rules.RULES.values()] for k in range(len(rows))]
+    sound = [k for k in range(len(rows)) if counts["n_words"][k] >= 10 and 100 * counts["n_repeat_words"][k] <= 20 * counts["n_words"][k]]
+    tune = [k for k in sound if zlib.crc32(str(k).encode()) % 5 == 0]
+    above = np.array([[sum(x > c for c in cfg.grid) for x in shares[k]] for k in tune])
+    steps = risk_rules.lowering(above, np.zeros(len(tune)), np.ones(len(tune)), len(cfg.grid))
+    level = cfg.delta / 3  # two languages and the pool
     for lang in ("en", "de"):
-        mine = [brute_counts(t) for _, t, la in rows if la == lang]
-        mine = [c for c in mine if c[0] >= 10 and 100 * c[4] <= 20 * c[0]]
-        want = None
-        for cut in cfg.grid:
-            k = sum(c[2] / c[1] > cut for c in mine)
-            tail = sum(math.comb(len(mine), i) * 0.05**i * 0.95 ** (len(mine) - i) for i in range(k + 1))
-            if tail <= level and k < 0.05 * len(mine):
-                want = cut
+        held = [k for k in sound if k not in set(tune) and rows[k][2] == lang]
+        cut, want = {}, {}
+        for r, j in steps:
+            cut[r] = cfg.grid[j]
+            rejected = sum(any(shares[k][x] > c for x, c in cut.items()) for k in held)
+            n = len(held)
+            if sum(math.comb(n, i) * cfg.risk**i * (1 - cfg.risk) ** (n - i) for i in range(rejected + 1)) > level:
                 break
-        assert got[lang]["_cut_symbols"] == want is not None
+            want = dict(cut)
+        assert {n: got[lang][f"_cut_{n}"] for n in names} == {n: want.get(x) for x, n in enumerate(names)} and want
 
 
 def test_production_parameters_reject_junk_in_every_language(spark):
