@@ -708,6 +708,35 @@ def strategy_classes(spark, sf):
     return _long(c.select("family", "strategy", "length_class"), "strategy", "length_class")
 
 
+def _family_features(spark, sf):
+    """All features of the three classifiers, and the classes of the rules."""
+    identities = M.pair_identity_features(_word_distances(spark, sf).withColumn("identity", 1 - F.col("d")))
+    stats = C.family_stats(C.column_scores(conversation_rows(spark, sf)))
+    f = M.base_features(identities, stats).drop("peak").join(stats.select("family", "n", "len", "un_sp", "sd", "peak"), "family", "right")
+    f = f.na.fill(0.0, ["avg_pid", "sd_pid", "f2", "f3", "avg_sp", "un_sp", "sd", "peak"])
+    return M.length_class(M.strategy_class(M.base_class(f, rules=M.ClassRules(identity=0.01))))
+
+
+@query
+def forest_classes(spark, sf):
+    """Classes of every family by forests that learn those of the rules, are saved, and loaded again."""
+    taught = materialize(_family_features(spark, sf), "family-features")
+    root = f"{_files(spark)}/forests"
+    out = taught
+    for name, features, classes, decide in (
+        ("base_class", M.BASE_FEATURES, range(0, 2), M.base_class),
+        ("strategy", M.STRATEGY_FEATURES, range(0, 2), M.strategy_class),
+        ("length_class", M.LENGTH_FEATURES, range(0, 4), M.length_class),
+    ):
+        forest = M.fit_forest(taught, features, name, classes)
+        if forest is not None:
+            M.save_forest(forest, f"{root}/{name}")
+            forest = M.load_forest(spark, f"{root}/{name}")
+        out = decide(out.withColumnRenamed(name, f"rule_{name}"), forest)
+    names = ("base_class", "strategy", "length_class")
+    return _long(out.select("family", *names, *[f"rule_{c}" for c in names]), *names, *[f"rule_{c}" for c in names])
+
+
 @query
 def planned_regions(spark, sf):
     s = C.column_scores(conversation_rows(spark, sf))
