@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Scratch, WordHashes, blocks, in_slices
+from seqloom.llm.common import Scratch, WordHashes, blocks, in_slices, unused
 from seqloom.llm.components import components
 
 CACHE = 200_000
@@ -442,25 +442,72 @@ def joined(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> tuple[DataFrame,
     return rows, classes
 
 
+def told_apart(docs: DataFrame, own: str, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """``docs`` with an id of its own for every text, and whether any id had to change.
+
+    Of different texts that share a ``doc_id`` the one of the smallest digest keeps it; the others get numbers above
+    all ids. The column ``own`` then holds the ``doc_id`` of every row.
+    """
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice, path = scratch.write(twice, "twice")
+    if twice.isEmpty():
+        scratch.drop(path)
+        return docs, False
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    texts, texts_path = scratch.write(
+        docs.select("doc_id", "text").join(twice, "doc_id", "left_semi").select("doc_id", digest.alias("digest")).distinct(), "texts")
+    others = texts.join(texts.groupBy("doc_id").agg(F.min("digest").alias("first")), "doc_id").where("digest <> first")
+    top = docs.agg(F.max("doc_id").cast("long")).first()[0] + 1
+    numbered = others.orderBy("doc_id", "digest").select(
+        F.col("doc_id").alias("own_id"), "digest", (F.monotonically_increasing_id() + F.lit(top)).alias("new_id"))
+    numbered, _ = scratch.write(numbered, "numbered")
+    scratch.drop(path, texts_path)
+    if numbered.isEmpty():
+        return docs, False
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), digest.alias("digest"))
+    marked = marked.join(numbered, ["own_id", "digest"], "left")
+    columns = [F.coalesce("new_id", "own_id").alias(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]
+    return marked.select(*columns, F.col("own_id").alias(own)), True
+
+
 def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row.
 
     A null, empty or blank text has no shingles and links with nothing. Rows that
-    share an id are one document; a row with a null id gets the component
+    share an id but not a text are documents of their own; a row with a null id gets the component
     of its text's set, null if no row with an id has that set. Further columns are ignored; an empty
     table gives an empty result.
     """
-    rows, classes = joined(docs, cfg)
-    return rows.join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    docs = docs.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "apart")
+    told, changed = told_apart(docs, "_own", scratch)
+    if changed:
+        told, _ = scratch.write(told, "told")
+    rows, classes = joined(told, cfg)
+    out = rows.join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"], "left")
+    if changed:
+        own = told.where("doc_id is not null").select("doc_id", "_own").distinct()
+        out = out.join(own, "doc_id", "left").drop("doc_id").withColumnRenamed("_own", "doc_id")
+        least = out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        out = out.join(least, "component", "left").withColumn("component", F.col("least"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """One row of each component, that of the smallest id, with the columns of ``docs``.
 
-    Rows without shingles or without an id all stay. Of rows that share the id
-    one stays.
+    Rows without shingles or without an id all stay. Of equal texts that share an id
+    one stays; different texts that share an id are documents of their own.
     """
+    own = unused(docs, "_own")
+    told, changed = told_apart(docs, own, Scratch(docs.sparkSession, "apart"))
+    out = _representatives(told, cfg)
+    if not changed:
+        return out
+    return out.select(*[F.col(own if c == "doc_id" else "`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
+def _representatives(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     rows, classes = joined(docs, cfg)
     scratch = Scratch(docs.sparkSession, "kept")
     gone = rows.join(classes, ["n", "h1", "h2"]).where("doc_id is not null and component <> doc_id").select("doc_id").distinct()

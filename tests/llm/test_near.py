@@ -123,6 +123,27 @@ def test_representatives(copies, no_documents):
     assert representatives(no_documents, cfg).count() == 0 == links(no_documents, cfg).count()
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    long = prose(7, 80)
+    rows = [(5, long), (5, prose(8, 80)), (5, long), (6, edited(prose(8, 80), 1, 1)), (9, edited(long, 2, 1)), (9, ""), (9, None), (7, prose(9, 60)), (None, long)]
+    df = spark.createDataFrame([(i, "own", t, 1, {"x": k}) for k, (i, t) in enumerate(rows)], "doc_id long, _own string, text string, `a.b` int, s map<string,int>")
+    cfg = JoinConfig(3, 80)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in links(df, cfg).collect())
+    n = [len(x) for x in sets_of(list(enumerate(t for _, t in rows)), 3).values()]
+    # both groups hold document 5, by different texts of it
+    assert got == Counter([(i, n[k], {7: 7, 9: 9 if not rows[k][1] else 5}.get(i, 5)) for k, (i, _) in enumerate(rows)])
+    kept = representatives(df, cfg)
+    assert kept.columns == df.columns and {r["_own"] for r in kept.collect()} == {"own"}
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert texts[7, rows[7][1]] == 1 and texts[None, long] == 1 and texts[9, ""] + texts[9, None] == 1
+    # one text of each group stays, and none of a clean document is lost
+    groups = [{long, rows[4][1]}, {rows[1][1], rows[3][1]}]
+    assert [sum(c for (i, t), c in texts.items() if i is not None and t in g) for g in groups] == [1, 1]
+    assert texts.total() == 5
+    again = representatives(df, cfg).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in again) == texts
+
+
 def test_shingles_take_ascii_only():
     c = WordHashes(10)
     assert (shingles("A b\tC\nd", 3, c) == shingles("a B c D", 3, c)).all()
