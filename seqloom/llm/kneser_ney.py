@@ -350,7 +350,7 @@ def score(docs: DataFrame, held_out, spec: dict | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = model.value
         m, cache = _model(spec["root"], tuple(spec.items())), WordHashes(CACHE)
-        scale = np.log10(float(spec["tokens"] + 1)) + np.log10(float(spec["distinct"] + 1))
+        scale = np.log10(float(spec["tokens"] + spec["distinct"] + 1))  # one added to the count of every word and of the unknown
         for b in batches:
             texts = b.column(2).to_pylist()
             out = [np.zeros(len(texts)) for _ in range(4)]

@@ -259,6 +259,30 @@ def test_kneser_ney_against_brute_force(spark, odd, which):
     assert math.isclose(sum(pair("the", w) for w in uni) + pair("the", "never seen"), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("which", ["odd", "sf"])
+def test_op5_base_adds_one_to_every_count(spark, odd, which, tmp_path):
+    """The base of a token is ``(c+1) / (N+1*(V+1))``: one for each of the V words and one for all unknown ones."""
+    import zlib
+
+    import __spark_entry__ as entry
+
+    docs = odd if which == "odd" else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    rows = rows_of(docs)
+    uni, pair = brute_model(rows, held)
+    n, v = sum(uni.values()), len(uni)
+    assert math.isclose(sum((uni[x] + 1) / (n + v + 1) for x in [*uni, "never seen"]), 1)
+    want = Counter()
+    for i, t in rows:
+        w = [*(t or "").encode().lower().split(), "END"]
+        base = sum(math.log10((uni[x] + 1) / (n + 1 * (v + 1))) for x in w)
+        score = sum(math.log10(pair(u, x)) for u, x in zip(["BEGIN", *w], w))
+        want[i, held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 4), round(score, 4)] += 1
+    got = entry.queries()["op5_kneser_ney"](spark, str(tmp_path)).collect()
+    assert Counter((*tuple(r)[:5], round(r["base_score"], 4), round(r["score"], 4)) for r in got) == want
+
+
 def test_kneser_ney_of_an_empty_table(no_documents):
     assert kneser_ney.score(no_documents, fold("doc_id", 7, 2)).count() == 0
 
