@@ -347,3 +347,14 @@ def test_a_stream_that_runs_out_is_an_error(spark):
     df = spark.range(1).select(uniform_draw([7, 9], F.lit(2), F.lit(0), F.lit(5)).alias("d"))
     with pytest.raises(Exception, match="ran out"):
         df.collect()
+
+
+def test_only_the_first_merge_has_a_distance_that_is_not_rounded(spark):
+    """As in the SQL form: of two equal distances the second one is rounded, and may come to lie below the first."""
+    d = 1.0 - 1.0 / 105
+    assert round(d, 12) < d
+    far = [(a, b, 0.9999) for a, b in ((0, 2), (0, 3), (1, 2), (1, 3))]
+    df = spark.createDataFrame([("f", a, b, x) for a, b, x in [(0, 1, d), (2, 3, d), *far]], "family string, a int, b int, d double")
+    nodes, _ = T.build_trees(df)
+    got = {r["node"]: ({r["left"], r["right"]}, r["height"]) for r in nodes.where("level > 0").collect()}
+    assert got == {4: ({2, 3}, round(d, 12)), 5: ({0, 1}, d), 6: ({4, 5}, 0.9999)}
