@@ -50,3 +50,23 @@ def test_entry_without_the_corpus_folders(tmp_path):
     assert said.returncode == 0, said.stderr
     n, ops, many = said.stdout.split()
     assert int(n) > 90 and ops == "0" and many == "True"
+
+
+def test_planned_regions_with_joins_cut_at_run_time(spark):
+    """Joins by shuffle whose partitions are merged at run time, as over large tables."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = entry.queries()["planned_regions"](spark, SF)
+        got = rows_of(df.columns, df.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cur = db.execute(entry.oracle_sql()["planned_regions"])
+    assert got == rows_of([c[0] for c in cur.description], cur.fetchall())
