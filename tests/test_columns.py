@@ -163,3 +163,13 @@ def test_property_and_entropy(spark):
 def test_duplicate_headers_last_wins(spark):
     df = spark.createDataFrame([("f", 0, "h", "AA"), ("f", 1, "h", "CC"), ("f", 2, "k", "GG")], "family string, idx int, header string, seq string")
     assert {(r.header, r.seq) for r in C.dedup_headers(df).collect()} == {("h", "CC"), ("k", "GG")}
+
+
+def test_column_table_is_complete_when_written(spark):
+    """The number of rows comes with the cells: the wide table is not joined again."""
+    rows = spark.createDataFrame([("f", 0, "h", "AC-D"), ("f", 1, "i", ""), ("f", 2, "j", None), ("g", 0, "h", "")],
+                                 "family string, idx long, header string, seq string")
+    table = C.column_table(rows)
+    assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["family"], r["col"], r["n"], r["r_A"] + r["r_C"] + r["r_D"]) for r in table.collect()]
+    assert sorted(got) == [("f", 0, 2, 1), ("f", 1, 2, 1), ("f", 2, 2, 0), ("f", 3, 2, 1)]
