@@ -165,6 +165,15 @@ def test_duplicate_headers_last_wins(spark):
     assert {(r.header, r.seq) for r in C.dedup_headers(df).collect()} == {("h", "CC"), ("k", "GG")}
 
 
+def test_gap_counts_shuffle_no_letter_counts(spark):
+    rows = spark.createDataFrame([("f", 0, "h", "AC-D"), ("f", 1, "i", "-C-"), ("g", 0, "h", "")], "family string, idx long, header string, seq string")
+    df = C.inner_gap_counts(rows, C.column_table(rows))
+    assert sorted(tuple(r) for r in df.collect()) == [("f", 0, 2, 0), ("f", 1, 2, 0), ("f", 2, 2, 1), ("f", 3, 2, 0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the counts of single letters stay below the first join: nothing above it names them
+    assert "r_A#" not in plan.split("Join LeftOuter")[0]
+
+
 def test_column_table_is_complete_when_written(spark):
     """The number of rows comes with the cells: the wide table is not joined again."""
     rows = spark.createDataFrame([("f", 0, "h", "AC-D"), ("f", 1, "i", ""), ("f", 2, "j", None), ("g", 0, "h", "")],
