@@ -182,3 +182,20 @@ def test_column_table_is_complete_when_written(spark):
     assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
     got = [(r["family"], r["col"], r["n"], r["r_A"] + r["r_C"] + r["r_D"]) for r in table.collect()]
     assert sorted(got) == [("f", 0, 2, 1), ("f", 1, 2, 1), ("f", 2, 2, 0), ("f", 3, 2, 1)]
+
+
+def test_dropped_columns_of_long_short_and_empty_rows(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [("f", k, f"s{k}", "".join(r.choice("A-") if c % 7 else "-" for c in range(n))) for k, n in enumerate((400, 59, 60, 61, 1, 0, 250))]
+    rows += [("full", k, f"s{k}", "AC" * 75) for k in range(2)] + [("gaps", 0, "s0", "---"), ("empty", 0, "s0", ""), ("none", 0, "s0", "A-C"), ("none", 1, "s1", None)]
+    df = spark.createDataFrame(rows, "family string, idx int, header string, seq string")
+    got = {(x.family, x.idx): x.seq for x in C.project_rows(df, F.lit(True)).collect()}
+    want = {}
+    for f in {x[0] for x in rows}:
+        texts = {x[1]: x[3] or "" for x in rows if x[0] == f}
+        used = [c for c in range(max(map(len, texts.values()))) if any(t[c : c + 1] not in ("", "-") for t in texts.values())]
+        if used:
+            want |= {(f, k): "".join(t[c : c + 1] or "-" for c in used) for k, t in texts.items()}
+    assert got == want
