@@ -69,7 +69,8 @@ def parse(texts: DataFrame, text: str = "text") -> DataFrame:
     items = t.where("kind in (')', 'n')").select("family", "pos", "kind", F.when(F.col("kind") == "n", F.col("tok")).alias("name"), "_names")
     items = items.join(held, ["family", "pos"]).join(lengths, ["family", "pos"], "left")
     number = F.col("_d").try_cast("double")
-    dist = F.when(F.col("_d").isNull(), F.lit(0.0)).when(number.isNull(), _error()).otherwise(number)
+    # null for a length that is no number
+    dist = F.when(F.col("_d").isNull(), F.lit(0.0)).otherwise(number)
     items = items.select("family", "pos", "kind", "name", "_names", "bracket", "own", dist.alias("dist"))
     # outside all brackets there is one item only; -1 stands for there
     items = prefix_sum(items.withColumn("bracket", F.coalesce("bracket", F.lit(-1))).withColumn("_1", F.lit(1)), ["family", "bracket"], "pos", "_1", "j")
@@ -83,16 +84,18 @@ def parse(texts: DataFrame, text: str = "text") -> DataFrame:
     closed = materialize(closed, "newick-brackets")
     tops = branches.where("bracket = -1").select("family", F.col("k").alias("_trees"))
     narrow = closed.groupBy("family").agg(F.min("k").alias("_least"), F.count_if(F.col("k").isNull()).alias("_none"))
-    state = shape.join(tops, "family", "left").join(narrow, "family", "left").select("family", (
+    wrong = items.groupBy("family").agg(F.count_if(F.col("dist").isNull()).alias("_wrong"))
+    state = shape.join(tops, "family", "left").join(narrow, "family", "left").join(wrong, "family", "left").select("family", (
         (F.col("_low") < 0) | (F.col("_end") != 0) | (F.coalesce("_trees", F.lit(0)) != 1) | (F.coalesce("_least", F.lit(2)) < 2)
-        | (F.coalesce("_none", F.lit(0)) > 0)).alias("_bad"))
+        | (F.coalesce("_none", F.lit(0)) > 0) | (F.coalesce("_wrong", F.lit(0)) > 0)).alias("_bad"))
     numbers = closed.select("family", "pos", (F.col("_base") + F.col("k") - 2).cast("int").alias("_own"))
     folds = closed.select("family", "bracket", "k", "_base")
     placed = items.join(numbers, ["family", "pos"], "left").join(folds, ["family", "bracket"], "left").join(state, "family").select(
-        "family", F.when(F.col("_bad"), _error()).when(F.col("kind") == "n", (F.col("_names") - 1).cast("int")).otherwise(F.col("_own")).alias("node"),
-        "kind", "name", "dist", "bracket", "own", "j", "k", "_base",
+        "family", F.when(F.col("kind") == "n", (F.col("_names") - 1).cast("int")).otherwise(F.col("_own")).alias("node"),
+        "_bad", "kind", "name", "dist", "bracket", "own", "j", "k", "_base",
         (F.col("_base") + F.greatest(F.col("j") - 2, F.lit(0))).cast("int").alias("parent"))
-    placed = materialize(placed, "newick-nodes")
+    # a filter, so that whoever reads the nodes meets the error, whatever columns are read
+    placed = materialize(placed, "newick-nodes").where(F.when(F.col("_bad"), _error()).otherwise(F.lit(True)))
     leaves = placed.where("kind = 'n'").select(
         "family", "node", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"), "name", "dist", "parent")
     firsts = placed.where("j = 1 and bracket >= 0").select("family", "bracket", F.col("node").alias("_first"))
