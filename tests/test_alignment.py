@@ -358,3 +358,34 @@ def test_only_the_first_merge_has_a_distance_that_is_not_rounded(spark):
     nodes, _ = T.build_trees(df)
     got = {r["node"]: ({r["left"], r["right"]}, r["height"]) for r in nodes.where("level > 0").collect()}
     assert got == {4: ({2, 3}, round(d, 12)), 5: ({0, 1}, d), 6: ({4, 5}, 0.9999)}
+
+
+@pytest.mark.parametrize("unit", [4, 64, 1 << 20])
+def test_relaxed_places_are_relaxed_cells(spark, unit):
+    """Groups of places give the sums over their listed cells, in any number of row blocks, and places listed twice."""
+    rng = np.random.default_rng(unit)
+    places = []
+    for f in range(3):
+        free = [(x, p) for x in range(6) for p in range(1, 12)]
+        rng.shuffle(free)
+        for n in (1, 2, 2, 5, 9, 20):
+            got, free = free[:n], free[n:]
+            got += got[:1] * (n == 9)
+            places.append((f"f{f}", [int(x) for x, _ in got], [int(p) for _, p in got]))
+    df = spark.createDataFrame(places, "family string, xs array<int>, ps array<int>")
+    cells = [(f, a, b, i, j, 1 / (1 + abs(i - j))) for f, xs, ps in places for a, i in zip(xs, ps) for b, j in zip(xs, ps) if a < b]
+    want = CO.relax_cells(spark.createDataFrame(cells, "family string, a int, b int, i int, j int, p double")).drop("p")
+    got = CO.relax_places(df, lambda i, j: 1.0 / (1 + np.abs(i - j)), unit)
+    rows = lambda d: sorted((*r[:5], round(r.relaxed, 9)) for r in d.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == len(cells)
+
+
+def test_relaxed_words_list_no_cells(spark, tmp_path):
+    """The cells of a long conversation are its words squared; they are not shuffled."""
+    from seqloom.plans.registry import QUERIES
+
+    rows = [("c", t, "user", " ".join(f"w{chr(97 + (t * k) % 7)}" for k in range(30))) for t in range(12)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    q = QUERIES["consistency_relax"](spark, str(tmp_path))
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and q.count() > 1000
