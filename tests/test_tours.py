@@ -133,3 +133,30 @@ def test_circles_and_empty_tables(spark):
     none = loop.limit(0)
     tour = TO.euler_tour(none)
     assert tour.count() == TO.leaf_pairs(tour).count() == TO.path_weights(tour).count() == 0
+
+
+def hubs(n, seed):
+    """Distances of ``n`` sequences whose nearest one is always the first, so that one pair merges per round."""
+    r = random.Random(seed)
+    return [(a, b, (0.1 if a == 0 else 0.5) + round(r.random() / 10, 13)) for a in range(n) for b in range(a + 1, n)]
+
+
+@pytest.mark.parametrize("linkage", ["upgma", "wpgma", "single"])
+def test_rounds_in_tasks_are_rounds_of_all(spark, monkeypatch, linkage):
+    r = random.Random(3)
+    trees = {"hub": hubs(6, 1), "twice": hubs(4, 2) + hubs(4, 5), "ties": [(a, b, 0.5) for a in range(5) for b in range(a + 1, 5)], "pair": [(3, 7, 0.25)],
+             "some": [(a, b, r.choice([0.25, r.random()])) for a in range(1, 9) for b in range(a + 1, 9)], "gap": [(0, 1, 0.1), (1, 2, 0.2), (5, 6, 0.3)]}
+    df = spark.createDataFrame([(f, *x) for f, rows in trees.items() for x in rows], "family string, a int, b int, d double")
+    got = [[sorted(map(str, t.collect())) for t in T.build_trees(df, linkage)]]
+    monkeypatch.setattr(T, "TASK_CLUSTERS", 4)  # rounds of all tasks, until four clusters are left
+    got.append([sorted(map(str, t.collect())) for t in T.build_trees(df, linkage)])
+    assert got[0] == got[1]
+
+
+def test_rounds_do_not_grow_with_a_family(spark, monkeypatch):
+    tags = []
+    real = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, tag: tags.append(tag) or real(df, tag))
+    df = spark.createDataFrame([("hub", *x) for x in hubs(14, 4)], "family string, a int, b int, d double")
+    nodes, _ = T.build_trees(df)
+    assert nodes.count() == 27 and nodes.agg({"level": "max"}).first()[0] > 10 and tags.count("tree-merges") <= 2
