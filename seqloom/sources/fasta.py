@@ -117,6 +117,11 @@ def parse_blocks(texts: DataFrame, text: str = "text", strip_gaps: bool = False)
     """
     keys = [c for c in texts.columns if c != text]
     lines = texts.select(*keys, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("ln", "line"))
+    return parse_block_lines(lines, keys, strip_gaps)
+
+
+def parse_block_lines(lines: DataFrame, keys: list[str], strip_gaps: bool = False) -> DataFrame:
+    """``parse_blocks`` of lines ``(*keys, ln, line)``; ``ln`` is any value that puts the lines of a file in order."""
     starts = lines.groupBy(*keys).agg(
         F.min(F.when(F.col("line").rlike(r"^(CLUSTAL|MSAPROBS)"), F.col("ln"))).alias("_title"),
         F.min(F.when(F.col("line").contains(".."), F.col("ln"))).alias("_dots"),
@@ -125,7 +130,7 @@ def parse_blocks(texts: DataFrame, text: str = "text", strip_gaps: bool = False)
     first = F.least("_title", "_dots", "_slashes")
     w = F.split(F.trim("line"), r"\s+")
     body = (
-        lines.join(starts, keys)
+        lines.join(starts.hint("shuffle_hash"), keys)
         .where(first.isNotNull() & (F.col("ln") > first) & (F.trim("line") != ""))
         .withColumn("word", F.get(w, F.lit(0)))
         .withColumn("free", F.coalesce(F.col("_title") == first, F.lit(False)) & ~F.col("line").rlike(r"^\s")
@@ -133,13 +138,12 @@ def parse_blocks(texts: DataFrame, text: str = "text", strip_gaps: bool = False)
         .withColumn("declared", F.col("word") == "Name:")
         .withColumn("name", F.when(F.col("declared"), F.get(w, F.lit(1))).otherwise(F.col("word")))
     )
-    names = body.where("declared or free").groupBy(*keys, "name").agg(F.min("ln").alias("_first"))
     data = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^\S+", ""), r"\s", "")
-    parts = (
-        body.where("not declared").join(names, [*keys, "name"])
-        .groupBy(*keys, "name", "_first")
-        .agg(F.array_sort(F.collect_list(F.struct("ln", data.alias("d")))).alias("p"))
-    )
+    # a word that nothing makes a name has no first line
+    parts = body.groupBy(*keys, "name").agg(
+        F.min(F.when(F.col("declared") | F.col("free"), F.col("ln"))).alias("_first"),
+        F.array_sort(F.collect_list(F.when(~F.col("declared"), F.struct("ln", data.alias("d"))))).alias("p"),
+    ).where(F.col("_first").isNotNull())
     seq = R.normalise(F.array_join(F.transform("p", lambda x: x["d"]), ""))
     if strip_gaps:
         seq = R.degap(seq)
@@ -160,3 +164,26 @@ def parse_any(texts: DataFrame, text: str = "text", strip_gaps: bool = False) ->
     if strip_gaps:
         a = a.withColumn("seq", R.degap(F.col("seq")))
     return a.unionByName(b)
+
+
+def parse_pieces(pieces: DataFrame, order: list[str], strip_gaps: bool = False) -> DataFrame:
+    """``parse_any`` of files in pieces ``(family, *order, piece)``, whose texts are not put together.
+
+    A piece holds whole lines, in a FASTA file whole records. A file is told by its first piece that
+    is not blank. Pieces that come in partitions by family are parsed where they are.
+    """
+    place = F.struct(*order)
+    kind = pieces.where(F.col("piece").rlike(r"\S")).groupBy("family").agg(
+        F.min_by(F.col("piece").rlike(r"\A\s*>"), place).alias("_fasta"))
+    told = pieces.join(kind.hint("shuffle_hash"), "family")
+    records = parse_fasta(told.where("_fasta").select("family", *order, "piece"), "piece", ["family", *order])
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("family").orderBy(*order, "idx")) - 1
+    a = records.select("family", number.alias("idx"), "header", "seq")
+    if strip_gaps:
+        a = a.withColumn("seq", R.degap(F.col("seq")))
+    lines = told.where("not _fasta").select("family", place.alias("_o"), F.posexplode(
+        F.split(F.regexp_replace("piece", "\r", ""), "\n")).alias("_k", "line"))
+    lines = lines.select("family", F.struct("_o", "_k").alias("ln"), "line")
+    return a.unionByName(parse_block_lines(lines, ["family"], strip_gaps))

@@ -62,12 +62,13 @@ def clustal_lines(rows: DataFrame, symbols: DataFrame, title: str = "CLUSTAL mul
     plus four, and a line of conservation marks below each block."""
     from seqloom.functions.residues import name_token
 
+    # one row per family: the lines stream past it and are not sorted
     shape = rows.groupBy("family").agg(
         (F.max(F.length(name_token(F.col("header")))) + 4).alias("_pad"), F.max(F.length("seq")).alias("_len")
     )
     blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_len") / width).cast("int") - 1, F.lit(0)))
     lines = (
-        rows.join(shape, "family").withColumn("_b", F.explode(blocks))
+        rows.join(shape.hint("shuffle_hash"), "family").withColumn("_b", F.explode(blocks))
         .withColumn("_t", F.substring("seq", F.col("_b") * width + 1, F.lit(width)))
         .where(F.length("_t") > 0)
         .select(
@@ -78,7 +79,7 @@ def clustal_lines(rows: DataFrame, symbols: DataFrame, title: str = "CLUSTAL mul
     marks = (
         symbols.withColumn("_b", F.floor(F.col("col") / width).cast("int"))
         .groupBy("family", "_b").agg(F.array_sort(F.collect_list(F.struct("col", "symbol"))).alias("_m"))
-        .join(shape, "family")
+        .join(shape.hint("shuffle_hash"), "family")
         .select(
             "family", "_b", F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_o"),
             F.concat(F.expr("repeat(' ', _pad)"), F.array_join(F.transform("_m", lambda m: m["symbol"]), ""), F.lit("\n")).alias("_line"),
