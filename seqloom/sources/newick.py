@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.tours import euler_tour
 from seqloom.operators.windows import prefix_sum, running_max
-from seqloom.session import materialize
+from seqloom.session import exchanged, materialize
 
 TOKEN = r"[(),;]|:[^(),;:]+|[^(),;:\s]+"
 #: What may not follow what, by kinds of tokens: n is a name, d a length; a tree starts with a bracket or a name and ends with ``;``.
@@ -67,7 +67,7 @@ def parse(texts: DataFrame, text: str = "text") -> DataFrame:
     # a length stands right behind its item
     lengths = t.where("kind = 'd'").select("family", (F.col("pos") - 1).alias("pos"), F.trim(F.substring("tok", 2, 1 << 30)).alias("_d"))
     items = t.where("kind in (')', 'n')").select("family", "pos", "kind", F.when(F.col("kind") == "n", F.col("tok")).alias("name"), "_names")
-    items = items.join(held, ["family", "pos"]).join(lengths, ["family", "pos"], "left")
+    items = items.join(exchanged(held), ["family", "pos"]).join(exchanged(lengths), ["family", "pos"], "left")
     number = F.col("_d").try_cast("double")
     # null for a length that is no number
     dist = F.when(F.col("_d").isNull(), F.lit(0.0)).otherwise(number)
@@ -76,21 +76,21 @@ def parse(texts: DataFrame, text: str = "text") -> DataFrame:
     items = prefix_sum(items.withColumn("bracket", F.coalesce("bracket", F.lit(-1))).withColumn("_1", F.lit(1)), ["family", "bracket"], "pos", "_1", "j")
     items = materialize(items.drop("_1"), "newick-items")
     branches = items.groupBy("family", "bracket").agg(F.count(F.lit(1)).alias("k"))
-    closed = items.where("kind = ')'").select("family", "pos", F.col("own").alias("bracket")).join(branches, ["family", "bracket"], "left")
+    closed = items.where("kind = ')'").select("family", "pos", F.col("own").alias("bracket")).join(exchanged(branches), ["family", "bracket"], "left")
     closed = prefix_sum(closed.withColumn("_f", F.coalesce("k", F.lit(0)) - 1), ["family"], "pos", "_f", "_to")
     # the folds of a bracket are numbered _base to _base + k - 2; the last is the bracket's node
-    closed = closed.join(shape.select("family", "leaves"), "family").select(
+    closed = closed.join(exchanged(shape.select("family", "leaves")), "family").select(
         "family", "bracket", "pos", "k", (F.col("leaves") + F.col("_to") - F.col("_f")).cast("int").alias("_base"))
     closed = materialize(closed, "newick-brackets")
     tops = branches.where("bracket = -1").select("family", F.col("k").alias("_trees"))
     narrow = closed.groupBy("family").agg(F.min("k").alias("_least"), F.count_if(F.col("k").isNull()).alias("_none"))
     wrong = items.groupBy("family").agg(F.count_if(F.col("dist").isNull()).alias("_wrong"))
-    state = shape.join(tops, "family", "left").join(narrow, "family", "left").join(wrong, "family", "left").select("family", (
+    state = shape.join(exchanged(tops), "family", "left").join(exchanged(narrow), "family", "left").join(exchanged(wrong), "family", "left").select("family", (
         (F.col("_low") < 0) | (F.col("_end") != 0) | (F.coalesce("_trees", F.lit(0)) != 1) | (F.coalesce("_least", F.lit(2)) < 2)
         | (F.coalesce("_none", F.lit(0)) > 0) | (F.coalesce("_wrong", F.lit(0)) > 0)).alias("_bad"))
     numbers = closed.select("family", "pos", (F.col("_base") + F.col("k") - 2).cast("int").alias("_own"))
     folds = closed.select("family", "bracket", "k", "_base")
-    placed = items.join(numbers, ["family", "pos"], "left").join(folds, ["family", "bracket"], "left").join(state, "family").select(
+    placed = items.join(exchanged(numbers), ["family", "pos"], "left").join(exchanged(folds), ["family", "bracket"], "left").join(exchanged(state), "family").select(
         "family", F.when(F.col("kind") == "n", (F.col("_names") - 1).cast("int")).otherwise(F.col("_own")).alias("node"),
         "_bad", "kind", "name", "dist", "bracket", "own", "j", "k", "_base",
         (F.col("_base") + F.greatest(F.col("j") - 2, F.lit(0))).cast("int").alias("parent"))
@@ -100,7 +100,7 @@ def parse(texts: DataFrame, text: str = "text") -> DataFrame:
         "family", "node", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"), "name", "dist", "parent")
     firsts = placed.where("j = 1 and bracket >= 0").select("family", "bracket", F.col("node").alias("_first"))
     outer = placed.where("kind = ')'").select("family", F.col("own").alias("bracket"), F.col("dist").alias("_dist"), F.col("parent").alias("_up"))
-    fold = placed.where("j > 1 and bracket >= 0").join(firsts, ["family", "bracket"]).join(outer, ["family", "bracket"])
+    fold = placed.where("j > 1 and bracket >= 0").join(exchanged(firsts), ["family", "bracket"]).join(exchanged(outer), ["family", "bracket"])
     whole = F.col("j") == F.col("k")
     inner = fold.select(
         "family", F.col("parent").alias("_id"), F.when(F.col("j") == 2, F.col("_first")).otherwise(F.col("parent") - 1).alias("left"),
@@ -117,7 +117,7 @@ def pieces(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """
     tour = euler_tour(nodes.select("family", "node", "left", "right", "parent", "dist"))
     lefts = nodes.where("left is not null").select("family", F.col("left").alias("node"), F.lit(",").alias("_comma"))
-    t = tour.join(names.select("family", "node", "name"), ["family", "node"], "left").join(lefts, ["family", "node"], "left")
+    t = tour.join(exchanged(names.select("family", "node", "name")), ["family", "node"], "left").join(exchanged(lefts), ["family", "node"], "left")
     leaf = F.col("left").isNull()
     end = F.concat(
         F.when(leaf, "").otherwise(")"), F.when(F.col("parent").isNull(), ";").otherwise(F.concat(F.lit(":"), F.col("dist").cast("string"))),
